@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vertexloom.llm import minhash
+from vertexloom.llm import fmindex, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,30 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_minhash": op4_minhash}
-ORACLES: dict[str, str] = {}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.contamination_report(fmindex.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP5_SQL = f"""
+with d as materialized (select row_number() over () r, doc_id, {_WORDS.format("coalesce(text, '')")} w from documents),
+i as (select item_id, {_WORDS.format("text")} w from benchmark where text is not null and item_id is not null),
+win as materialized (
+  select distinct item_id, least(len(w), 10) n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') g
+  from (select *, unnest(range(1, len(w) - least(len(w), 10) + 2)) k from i where len(w) > 0)),
+g as (
+  select r, n, k, array_to_string(w[k : k + n - 1], ' ') g
+  from (select r, w, n, unnest(range(1, len(w) - n + 2)) k from d, (select distinct n from win) where len(w) >= n)),
+m as materialized (select g.r, g.n, g.k, win.item_id from g join win on g.n = win.n and g.g = win.g),
+hit as (select r, count(distinct p) n_hit from (select r, unnest(range(k, k + n)) p from m) group by r),
+items as (
+  select r, count(*) n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) ids
+  from (select distinct r, item_id from m) group by r)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
+  sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join hit using (r) left join items using (r)
+"""
+
+QUERIES = {"op4_minhash": op4_minhash, "op5_decontamination": op5_decontamination}
+ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}
