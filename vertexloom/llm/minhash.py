@@ -8,7 +8,9 @@ shuffled; the right keys ride along, so a table key is formed where a left key h
 A pair at similarity s meets in some table with (1 - (1 - s**ROWS)**BANDS)**2, 0.9997 at 0.75.
 Every candidate is verified on full shingle sets. Documents with equal sets form a class first.
 Two rounds link every member of a left group to one hub (linear in the rows); after them, whatever
-still lies in different components of a table bucket is compared pair by pair.
+still lies in different components of a table bucket is compared by odd sketches: the ones in the XOR
+of two sketches count at most the sets' symmetric difference, and where a sketch is crowded the
+expected count plus `SIGMAS` deviations is the bound. Pairs within it are verified.
 
 Rows: null or wordless text has an empty set and is linked with nothing; rows with a null doc_id
 take no part in links (component_id null, kept true); rows with the same doc_id are one document.
@@ -26,6 +28,7 @@ from vertexloom.llm.common import binary_rows, materialize, mix, small_enough, t
 from vertexloom.llm.components import connected_components
 
 BANDS, ROWS, SHINGLE, PERCENT = 16, 3, 5, 75
+SKETCH_BITS, SIGMAS = 1024, 6
 BROADCAST_IDS = 500_000  # ids (8 bytes each) that a broadcast may hold; beyond it the join shuffles
 _SEEDS = np.random.default_rng(4).integers(1, 2**63, (2, 2 * BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGNATURE = "doc_id long, n_shingles long, cls binary, left_keys array<long>, right_keys array<int>"
@@ -75,12 +78,18 @@ def _signatures(batches):
             )
 
 
+def _odd_sketch(own: np.ndarray) -> np.ndarray:
+    bits = np.bincount((own >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches):
     for batch in batches:
         for at, rows, hashes, bounds in text_shingles(batch.column(1), SHINGLE):
             sets, bounds = distinct_sets(hashes, bounds)
+            own = [sets[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, rows), binary_rows([sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])], ["id", "shingles"]
+                [batch.column(0).slice(at, rows), binary_rows([x.tobytes() for x in own]), pa.array([_odd_sketch(x) for x in own], pa.list_(pa.int64()))], ["id", "shingles", "sketch"]
             )
 
 
@@ -118,16 +127,20 @@ def _hub_pairs(bands: DataFrame, salt: int, percent: int) -> DataFrame:
     return rows.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
 
 
-def _rest_pairs(bands: DataFrame, percent: int) -> DataFrame:
-    """All pairs that share a table bucket and still lie in different components."""
+def _rest_pairs(bands: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share a table bucket, still lie in different components and may be near enough by their sketches."""
     mixed = bands.groupBy("lk").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("lk")
     rows = bands.join(mixed, "lk").select("rep", "n", "label", "lk", F.posexplode("right_keys").alias("j", "rk"))
     rows = rows.select("rep", "n", "label", F.xxhash64("lk", "j", "rk").alias("bucket"))
     split = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     rows = materialize(rows.join(split, "bucket"), "buckets")
+    rows = rows.join(sketches, rows.rep == sketches.id).drop("id")
+    ones = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(SKETCH_BITS // 64))
+    apart = f"((x.n + y.n) * {100 - percent} / {100 + percent}.0D)"
+    crowded = f"({SKETCH_BITS / 2} * (1 - exp(-{2 / SKETCH_BITS} * {apart})) + {SIGMAS * SKETCH_BITS**0.5 / 2})"
     x, y = rows.alias("x"), rows.alias("y")
-    met = x.join(y, F.expr(f"x.bucket = y.bucket and x.label < y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    near = f"x.bucket = y.bucket and x.label < y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and ({ones}) <= least({apart} + 1e-6, {crowded})"
+    return x.join(y, F.expr(near)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -143,13 +156,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids = materialize(bands.select("rep").distinct(), "candidates")
     wanted = ids.select(F.col("rep").alias("doc_id"))
     found = docs.join(F.broadcast(wanted) if small_enough(ids, BROADCAST_IDS) else wanted, "doc_id")
-    sets = materialize(found.select("doc_id", "text").mapInArrow(_sets, "id long, shingles binary"), "sets")
+    sets = materialize(found.select("doc_id", "text").mapInArrow(_sets, "id long, shingles binary, sketch array<long>"), "sets")
 
     same = own.groupBy("cls").agg(F.min("doc_id").alias("a")).join(own.select("cls", F.col("doc_id").alias("b")), "cls").where("a < b").select("a", "b")
     links, done, labels = None, None, None
     for step in range(3):
         now = bands.withColumn("label", F.col("rep")) if labels is None else bands.join(labels, bands.rep == labels.id, "left").select(*bands.columns, F.coalesce("label", "rep").alias("label"))
-        pairs = _hub_pairs(now, step, percent) if step < 2 else _rest_pairs(now, percent)
+        pairs = _hub_pairs(now, step, percent) if step < 2 else _rest_pairs(now, sets.select("id", "sketch"), percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
