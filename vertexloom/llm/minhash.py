@@ -130,8 +130,8 @@ def _hub_pairs(bands: DataFrame, salt: int, percent: int) -> DataFrame:
 def _rest_pairs(bands: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs that share a table bucket, still lie in different components and may be near enough by their sketches."""
     mixed = bands.groupBy("lk").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("lk")
-    rows = bands.join(mixed, "lk").select("rep", "n", "label", "lk", F.posexplode("right_keys").alias("j", "rk"))
-    rows = rows.select("rep", "n", "label", F.xxhash64("lk", "j", "rk").alias("bucket"))
+    rows = bands.join(mixed, "lk").select("rep", "n", "label", "li", "lk", F.posexplode("right_keys").alias("j", "rk"))
+    rows = rows.select("rep", "n", "label", "li", "j", F.xxhash64("lk", "j", "rk").alias("bucket"))
     split = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     rows = materialize(rows.join(split, "bucket"), "buckets")
     rows = rows.join(sketches, rows.rep == sketches.id).drop("id")
@@ -140,6 +140,8 @@ def _rest_pairs(bands: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     crowded = f"({SKETCH_BITS / 2} * (1 - exp(-{2 / SKETCH_BITS} * {apart})) + {SIGMAS * SKETCH_BITS**0.5 / 2})"
     x, y = rows.alias("x"), rows.alias("y")
     near = f"x.bucket = y.bucket and x.label < y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and ({ones}) <= least({apart} + 1e-6, {crowded})"
+    # A pair that meets in several buckets counts in the first of them.
+    near += "".join(f" and array_position(zip_with(x.{keys}, y.{keys}, (u, v) -> u = v), true) = x.{at} + 1" for keys, at in (("left_keys", "li"), ("right_keys", "j")))
     return x.join(y, F.expr(near)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
@@ -149,7 +151,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sig = materialize(docs.mapInArrow(_signatures, _SIGNATURE), "signatures")
     own = sig.where("doc_id is not null and n_shingles > 0")
     classes = own.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "left_keys", "right_keys"), "doc_id").alias("s"))
-    bands = classes.select("rep", F.col("s.n_shingles").alias("n"), F.col("s.right_keys").alias("right_keys"), F.explode("s.left_keys").alias("lk"))
+    bands = classes.select("rep", F.col("s.n_shingles").alias("n"), F.col("s.right_keys").alias("right_keys"), F.posexplode("s.left_keys").alias("li", "lk"))
     shared = bands.groupBy("lk").agg(F.count("*").alias("members")).where("members > 1").select("lk")
     bands = materialize(bands.join(shared, "lk"), "bands")
 
@@ -158,11 +160,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = docs.join(F.broadcast(wanted) if small_enough(ids, BROADCAST_IDS) else wanted, "doc_id")
     sets = materialize(found.select("doc_id", "text").mapInArrow(_sets, "id long, shingles binary, sketch array<long>"), "sets")
 
+    keys = classes.select(F.col("rep").alias("key_id"), "s.left_keys", "s.right_keys")
+    profiles = sets.select("id", "sketch").join(keys, F.col("id") == F.col("key_id")).drop("key_id")
     same = own.groupBy("cls").agg(F.min("doc_id").alias("a")).join(own.select("cls", F.col("doc_id").alias("b")), "cls").where("a < b").select("a", "b")
     links, done, labels = None, None, None
     for step in range(3):
         now = bands.withColumn("label", F.col("rep")) if labels is None else bands.join(labels, bands.rep == labels.id, "left").select(*bands.columns, F.coalesce("label", "rep").alias("label"))
-        pairs = _hub_pairs(now, step, percent) if step < 2 else _rest_pairs(now, sets.select("id", "sketch"), percent)
+        pairs = _hub_pairs(now, step, percent) if step < 2 else _rest_pairs(now, profiles, percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
