@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vertexloom.llm import fmindex, minhash
+from vertexloom.llm import fmindex, minhash, packing, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,5 +42,29 @@ select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint
 from d left join hit using (r) left join items using (r)
 """
 
-QUERIES = {"op4_minhash": op4_minhash, "op5_decontamination": op5_decontamination}
-ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP10_SQL = """
+with v as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, cast(rank as integer) rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= 5
+"""
+
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op4_minhash": op4_minhash,
+    "op5_decontamination": op5_decontamination,
+    "op10_topk": op10_topk,
+}
+ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op10_topk": OP10_SQL}
