@@ -3,8 +3,8 @@
 Vectors become integers, floor(256 * component). A block of vectors is an index: a posting segment
 holds the vectors that have one quantised impact (absolute value by `STEP`) with one sign in one
 dimension, and segments are processed by descending impact for a chunk of queries at once. What is
-still unprocessed is below the current impact, so each score is known within a bound; a query stops
-when so few vectors can still be among its k best that scoring those exactly is cheaper than going
+still unprocessed is below the current impact, so each score is known within a bound (sums stay exact
+integers in floats of sufficient width); a query stops when so few vectors can still be among its k best that scoring those exactly is cheaper than going
 on. All possible members are rescored exactly, so the result is exact wherever a query stops.
 
 Queries are broadcast in blocks of at most `QUERY_BLOCK`, one pass over the vectors each; a partition
@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE, STEP, INDEX_ROWS, QUERY_BLOCK, CHUNK = 256, 16, 4096, 2048, 256
+SCALE, STEP, INDEX_ROWS, QUERY_BLOCK, CHUNK = 256, 4, 4096, 2048, 256
+CHECKS = (8, 4, 2, 1, 0)  # impacts at which queries may stop
 
 
 def usable(vector: Column) -> Column:
@@ -35,7 +36,7 @@ def _matrix(lists: pa.Array, width: int = 0) -> np.ndarray:
     """Integer rows, shorter ones filled with 0."""
     sizes = np.asarray(lists.value_lengths(), np.int64)
     flat = np.floor(SCALE * lists.flatten().to_numpy(zero_copy_only=False).astype(float))
-    if len(flat) and np.abs(flat).max() >= 2**27:
+    if len(flat) and np.abs(flat).max() >= 2**26:
         raise OverflowError("a component is too large for exact integer scores")
     out = np.zeros((len(sizes), max(width, int(sizes.max(initial=0)))), np.int64)
     out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
@@ -46,7 +47,7 @@ class ImpactIndex:
     """Posting segments of a block of integer vectors, by descending quantised impact."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.floats, self.peak = ids, vectors.astype(float), int(np.abs(vectors).max(initial=0))
         level = np.abs(vectors) // STEP
         rows, dims = np.nonzero(level)
         levels, signs = level[rows, dims], vectors[rows, dims] < 0
@@ -54,6 +55,9 @@ class ImpactIndex:
         rows, dims, levels, signs = rows[order], dims[order], levels[order], signs[order]
         key = (levels * vectors.shape[1] + dims) * 2 + signs
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+        # Exact products in floats need sums below 2**53.
+        if float(self.peak) ** 2 * vectors.shape[1] >= 2**53:
+            raise OverflowError("components are too large for exact integer scores")
         self.segments = [
             (int(levels[a]), int(dims[a]), -1 if signs[a] else 1, rows[a:b]) for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True)
         ]
@@ -61,32 +65,38 @@ class ImpactIndex:
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> list[tuple[int, int, int]]:
         """(query row, vector row, exact score) of all vectors that can be among the k best of a query and reach its floor."""
         n = len(self.ids)
-        scores = np.zeros((n, len(queries)), np.int64)
         reach = np.abs(queries).sum(1)
-        own = self.ids[:, None] == query_ids[None, :]
+        kind = np.float32 if reach.max() * (self.peak + 2 * STEP) < 2**24 else np.float64
+        scores = np.zeros((n, len(queries)), kind)
+        order = np.argsort(query_ids)
+        near = order[np.minimum(np.searchsorted(query_ids, self.ids, sorter=order), len(order) - 1)]
+        own = np.flatnonzero(query_ids[near] == self.ids)
+        scores[own, near[own]] = -np.inf
+        by_dim = np.ascontiguousarray(queries.T).astype(kind)
         out, open_, at = [], np.arange(len(queries)), 0
+        groups = np.arange(0, n, max(1, n // (16 * k)))
         while True:
             level = self.segments[at][0] if at < len(self.segments) else 0
-            if level < 8 or level % 4 == 0 or at == 0:
-                # Unprocessed impacts are below (level + 1) * STEP, processed ones known within STEP.
-                bound = reach[open_] * ((level + 1) * STEP)
-                seen = np.where(own[:, open_], np.iinfo(np.int64).min // 2, scores[:, open_])
-                least = np.partition(seen, n - k, 0)[n - k] - bound if n > k else np.full(len(open_), np.iinfo(np.int64).min // 4)
-                may = seen + bound >= np.maximum(least, floor[open_])
-                may &= ~own[:, open_]
+            if level in CHECKS or at >= len(self.segments):
+                # Unprocessed impacts are below (level + 1) * STEP, processed ones known within STEP / 2.
+                seen = scores if len(open_) == len(queries) else scores[:, open_]
+                bound = reach[open_] * ((level + 1) * STEP if at < len(self.segments) else STEP)
+                # The k-th best of the groups' best is at most the k-th best of all.
+                best = np.maximum.reduceat(seen, groups, 0)
+                least = np.partition(best, len(best) - k, 0)[len(best) - k] - bound if len(best) >= k else np.full(len(open_), -np.inf)
+                may = seen >= np.maximum(least, floor[open_]) - bound
+                may &= seen > -np.inf
                 done = (may.sum(0) <= 8 * k) | (at >= len(self.segments))
                 for j in np.flatnonzero(done):
                     rows = np.flatnonzero(may[:, j])
-                    exact = self.vectors[rows] @ queries[open_[j]]
-                    out += [(int(open_[j]), int(r), int(s)) for r, s in zip(rows, exact, strict=True)]
+                    exact = self.floats[rows] @ queries[open_[j]].astype(float)
+                    out += [(int(open_[j]), r, s) for r, s in zip(rows.tolist(), exact.astype(np.int64).tolist(), strict=True)]
                 open_ = open_[~done]
             if not len(open_):
                 return out
-            weights = np.zeros(len(queries), np.int64)
             while at < len(self.segments) and self.segments[at][0] == level:
                 _, dim, sign, rows = self.segments[at]
-                weights[:] = queries[:, dim] * (sign * level * STEP)
-                scores[rows] += weights
+                scores[rows] += by_dim[dim] * kind(sign * (level * STEP + STEP // 2))
                 at += 1
 
 
