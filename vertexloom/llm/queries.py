@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import fmindex, minhash, packing, topk
+from vertexloom.llm import fmindex, licenses, minhash, packing, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.license_report(licenses.scan(docs, licenses.document_frequencies(docs)))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_minhash": op4_minhash,
     "op5_decontamination": op5_decontamination,
+    "op9_licenses": op9_licenses,
     "op10_topk": op10_topk,
 }
-ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op10_topk": OP10_SQL}
+ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op9_licenses": licenses.oracle(_WORDS.format("coalesce(text, '')")), "op10_topk": OP10_SQL}
