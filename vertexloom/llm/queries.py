@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import fmindex, licenses, minhash, packing, topk
+from vertexloom.llm import fmindex, langid, licenses, minhash, packing, quality, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +42,19 @@ select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint
 from d left join hit using (r) left join items using (r)
 """
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return licenses.license_report(licenses.scan(docs, licenses.document_frequencies(docs)))
@@ -67,9 +76,11 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 """
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op2_packing": op2_packing,
     "op4_minhash": op4_minhash,
     "op5_decontamination": op5_decontamination,
+    "op6_quality": op6_quality,
     "op9_licenses": op9_licenses,
     "op10_topk": op10_topk,
 }
