@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import fmindex, langid, licenses, minhash, packing, quality, topk
+from vertexloom.llm import fmindex, htmltree, langid, licenses, minhash, packing, passages, quality, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op8_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltree.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return licenses.license_report(licenses.scan(docs, licenses.document_frequencies(docs)))
@@ -81,6 +89,8 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
+    "op7_passages": op7_passages,
+    "op8_maintext": op8_maintext,
     "op9_licenses": op9_licenses,
     "op10_topk": op10_topk,
 }
