@@ -1,9 +1,9 @@
 """Operator 9: license scans over a positional rare-token index, with DataFrame functions only.
 
-A template is a run of words with a mandatory key phrase inside. The corpus gives each license word
-its document frequency (one pass, one small aggregate); the index keeps, for each template, the
+A template is a run of words with a mandatory key phrase inside. One pass finds where license words
+stand in each file; that small table gives their document frequencies and all that follows. The index keeps, for each template, the
 positions of its key phrase's `RARE` rarest words. A file's occurrences of indexed words are looked
-up, the postings of a template are intersected by relative position (occurrence minus position in
+up, the postings of a template, rarest words first, are intersected by relative position (occurrence minus position in
 the template), and a place counts once the whole key phrase stands there. The score of a place is
 the share of the template's words that stand where the template has them. All of this is row by
 row: no shuffle but that of the frequencies.
@@ -18,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import lower_ascii
+from vertexloom.llm.common import lower_ascii, materialize
 
-RARE = 2
+RARE, CODES = 2, 1024
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and labels of the contract.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -73,48 +73,71 @@ def _strings(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
-def document_frequencies(docs: DataFrame) -> dict[str, int]:
-    """In how many rows each word of the key phrases occurs (as many entries as there are such words)."""
-    vocabulary = sorted({w for t in templates() for w in t["key"]})
-    words = docs.select(_words(F.col("text")).alias("words"))
-    found = words.select(F.explode(F.array_intersect("words", _strings(vocabulary))).alias("word")).groupBy("word").count()
-    counts = {r[0]: r[1] for r in found.collect()}
-    return {w: counts.get(w, 0) for w in vocabulary}
+def _vocabulary() -> list[str]:
+    return sorted({w for t in templates() for w in t["words"]})
 
 
-def scan(docs: DataFrame, frequencies: dict[str, int]) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, n_words, places), places: array of (label, base, start, share)."""
+def license_words(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, n_words, spots), written to the shared folder: where license words stand.
+
+    A spot is position * `CODES` + the word's index in the vocabulary; texts are read and cut into words this once.
+    """
+    vocabulary = _vocabulary()
+    words = docs.select("doc_id", _words(F.coalesce("text", F.lit(""))).alias("words"))
+    code = lambda w, i: i.cast("long") * CODES + F.array_position(_strings(vocabulary), w) - 1
+    spots = F.filter(F.transform("words", lambda w, i: F.when(w.isin(vocabulary), code(w, i))), lambda x: x.isNotNull())
+    return materialize(words.select("doc_id", F.size("words").cast("long").alias("n_words"), spots.alias("spots")), "spots")
+
+
+def document_frequencies(found: DataFrame) -> dict[str, int]:
+    """In how many rows of license_words each license word occurs (as many entries as there are such words)."""
+    vocabulary = _vocabulary()
+    indexes = F.array_distinct(F.transform("spots", lambda x: x % CODES))
+    counts = dict(found.select(F.explode(indexes).alias("word")).groupBy("word").count().collect())
+    return {w: counts.get(k, 0) for k, w in enumerate(vocabulary)}
+
+
+def scan(found: DataFrame, frequencies: dict[str, int]) -> DataFrame:
+    """license_words' rows -> (doc_id, n_words, places), places: array of (label, base, start, share)."""
+    number = {w: k for k, w in enumerate(_vocabulary())}
     index = []
     for t in templates():
         ranked = sorted(range(len(t["key"])), key=lambda k: (frequencies.get(t["key"][k], 0), k))
-        index.append(t | {"rare": sorted(ranked[:RARE])})
-    rare = sorted({t["key"][k] for t in index for k in t["rare"]})
+        index.append(t | {"rare": ranked[:RARE]})
+    rarest = sorted({number[t["key"][t["rare"][0]]] for t in index})
 
-    words = docs.select("doc_id", _words(F.coalesce("text", F.lit(""))).alias("words"))
-    spots = F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
-    hits = words.select("doc_id", "words", spots.alias("hits"))
+    def stands(word: str, at: Column) -> Column:
+        return F.array_contains("spots", at.cast("long") * CODES + number[word])
 
     def starts(t: dict) -> Column:
         """Places of the key phrase: the rare words' postings agree on them and the whole phrase stands there."""
 
         def postings(k: int) -> Column:
-            return F.transform(F.filter("hits", lambda h: h["word"] == t["key"][k]), lambda h: h["at"] - k)
+            return F.transform(F.filter("spots", lambda x: x % CODES == number[t["key"][k]]), lambda x: F.shiftright(x, CODES.bit_length() - 1) - k)
 
         agreed = postings(t["rare"][0])
         for k in t["rare"][1:]:
             agreed = F.array_intersect(agreed, postings(k))
-        return F.filter(agreed, lambda s: (s >= 0) & (F.slice("words", s + 1, len(t["key"])) == _strings(t["key"])))
+
+        def whole(s: Column) -> Column:
+            there = s >= 0
+            for k, w in enumerate(t["key"]):
+                there &= stands(w, s + k)
+            return there
+
+        return F.filter(agreed, whole)
 
     def places(t: dict) -> Column:
         def share(s: Column) -> Column:
-            same = [F.when(F.get("words", s + (k - t["at"])) == w, 1).otherwise(0) for k, w in enumerate(t["words"])]
+            same = [stands(w, s + (k - t["at"])).cast("int") for k, w in enumerate(t["words"])]
             return sum(same[1:], same[0]).cast("double") / len(t["words"])
 
         return F.transform(starts(t), lambda s: F.struct(F.lit(t["label"]).alias("label"), F.lit(t["base"]).alias("base"), s.cast("long").alias("start"), share(s).alias("share")))
 
     none = F.array().cast("array<struct<label:string,base:boolean,start:bigint,share:double>>")
-    found = F.when(F.size("hits") > 0, F.concat(*map(places, index))).otherwise(none)
-    return hits.select("doc_id", F.size("words").cast("long").alias("n_words"), found.alias("places"))
+    # A file without any template's rarest word is done.
+    some = F.exists("spots", lambda x: (x % CODES).isin(rarest))
+    return found.select("doc_id", "n_words", F.when(some, F.concat(*map(places, index))).otherwise(none).alias("places"))
 
 
 def license_report(found: DataFrame) -> DataFrame:

@@ -64,8 +64,8 @@ def op8_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return licenses.license_report(licenses.scan(docs, licenses.document_frequencies(docs)))
+    found = licenses.license_words(_table(spark, sf_dir, "documents"))
+    return licenses.license_report(licenses.scan(found, licenses.document_frequencies(found)))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
