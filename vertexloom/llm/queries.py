@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import fmindex, htmltree, langid, licenses, minhash, packing, passages, quality, topk
+from vertexloom.llm import fmindex, htmltree, kneser, langid, licenses, minhash, packing, passages, quality, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_kneser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.score_corpus(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_packing": op2_packing,
+    "op3_kneser": op3_kneser,
     "op4_minhash": op4_minhash,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
