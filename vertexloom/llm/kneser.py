@@ -34,9 +34,9 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import LOWER, SPACE_SEP, blocks, held_out, materialize, mix, release, shared_dir, word_hashes, word_spans
+from vertexloom.llm.common import LOWER, SPACE_SEP, blocks, held_out, materialize, mix, shared_dir, word_hashes, word_spans
 
-MOD, CHUNK_WORDS, BUCKET_ENTRIES = 7, 2_000_000, 3_000_000
+MOD, CHUNK_WORDS, BUCKET_ENTRIES = 7, 2_000_000, 1_000_000
 END, START = np.uint64(0x5EED5EED5EED5EED), np.uint64(0x0BAD5EED0BAD5EED)
 _HIGH, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 
@@ -69,11 +69,18 @@ def unpack_keys(raw: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return np.ascontiguousarray(counts.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Counts in as few bytes as the largest needs, after one byte that tells how many."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 256**w)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
-def unpack_counts(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel().astype(np.int64)
+def unpack_counts(raw: bytes, n: int) -> list[np.ndarray]:
+    """The arrays of n counts that stand in raw one after another."""
+    out, at = [], 0
+    while at < len(raw):
+        out.append(np.frombuffer(raw, f"<u{raw[at]}", n, at + 1).astype(np.int64))
+        at += 1 + raw[at] * n
+    return out
 
 
 def merge(keys: list[np.ndarray], *values: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -180,17 +187,18 @@ def _groups(batches):
     """Merges the consecutive rows of each kind and bucket (rows come sorted by them): (kind, bucket, keys, value arrays)."""
     now, keys, values = None, [], []
     for batch in batches:
-        for kind, bucket, raw, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row in range(batch.num_rows):
+            kind, bucket, raw, counts = (c[row].as_py() for c in batch.columns)
             if (kind, bucket) != now and keys:
                 yield *now, *merge(keys, *values)
                 keys, values = [], []
             now = kind, bucket
             key = unpack_keys(raw)
             keys.append(key)
-            size = len(key) * 8
-            values = values or [[] for _ in range(len(counts) // size)]
-            for k, value in enumerate(values):
-                value.append(unpack_counts(counts[k * size : (k + 1) * size]))
+            found = unpack_counts(counts, len(key))
+            values = values or [[] for _ in found]
+            for value, more in zip(values, found, strict=True):
+                value.append(more)
     if keys:
         yield *now, *merge(keys, *values)
 
@@ -253,7 +261,6 @@ def train(docs: DataFrame, mod: int = MOD) -> dict:
         return materialize(dealt.mapInArrow(_finish(folder, buckets), _PACKED), name)
 
     first = finished(texts.mapInArrow(_count(buckets), _PACKED), "bigrams")
-    release(spark)
     found, more = _sums(first), _sums(finished(first.where("kind >= 0"), "contexts"))
     (vocabulary, total, *_), words = found[WORD]
     n_next, nexts = more[CONTINUATION]
