@@ -7,7 +7,6 @@ text (or one longer text), which bounds a worker's memory whatever the batch or
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,16 +48,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # Nothing reads the shuffles of a written table again, so their files go as soon as it stands.
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -73,6 +73,11 @@ def held_out(doc_id: Column, mod: int) -> Column:
     return id_remainder(doc_id, mod) == 2
 
 
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows; beyond that the join is left to shuffle."""
+    return F.broadcast(df) if small_enough(df, rows) else df
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows, found without counting beyond them."""
     return df.limit(rows + 1).count() <= rows

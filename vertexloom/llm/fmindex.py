@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import ALNUM_SEP, LOWER, blocks, word_hashes, word_spans
+from vertexloom.llm.common import ALNUM_SEP, LOWER, blocks, broadcast_if_small, materialize, word_hashes, word_spans
 
 WINDOW, SHARD_WORDS, SAMPLE = 10, 600_000, 16
 BLOCK_WINDOWS, PASS_BLOCKS = 50_000, 8
+BROADCAST_ROWS = 250_000  # rows of an id and a few spans that a broadcast may hold; beyond it the join shuffles
 SCHEMA = "doc_id long, n_words long, span_starts array<long>, span_ends array<long>, items array<long>, text_key binary"
 
 
@@ -291,6 +292,7 @@ def remove_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     Rows meet by doc_id, so ids must be distinct; rows that have no spans stay as they are.
     """
     marks = found.where(F.size("span_starts") > 0).select(F.col("doc_id").alias("span_id"), "span_starts", "span_ends")
+    marks = broadcast_if_small(materialize(marks, "marks"), BROADCAST_ROWS)
     joined = docs.join(marks, docs.doc_id == marks.span_id, "left").drop("span_id")
     columns = [c for c in joined.columns if c not in ("span_starts", "span_ends")]
     clean, dirty = joined.where("span_starts is null").select(columns), joined.where("span_starts is not null")

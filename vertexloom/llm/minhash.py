@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import binary_rows, materialize, mix, small_enough, text_shingles
+from vertexloom.llm.common import binary_rows, broadcast_if_small, materialize, mix, text_shingles
 from vertexloom.llm.components import connected_components
 
 BANDS, ROWS, SHINGLE, PERCENT = 16, 3, 5, 75
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     ids = materialize(bands.select("rep").distinct(), "candidates")
     wanted = ids.select(F.col("rep").alias("doc_id"))
-    found = docs.join(F.broadcast(wanted) if small_enough(ids, BROADCAST_IDS) else wanted, "doc_id")
+    found = docs.join(broadcast_if_small(wanted, BROADCAST_IDS), "doc_id")
     sets = materialize(found.select("doc_id", "text").mapInArrow(_sets, "id long, shingles binary, sketch array<long>"), "sets")
 
     keys = classes.select(F.col("rep").alias("key_id"), "s.left_keys", "s.right_keys")
@@ -183,3 +183,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = sig.join(labels, sig.doc_id == labels.id, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id. Rows with a null doc_id stay."""
+    found = materialize(near_duplicates(docs, percent), "groups")
+    gone = found.where("not kept").select("doc_id").distinct()
+    left = docs.join(broadcast_if_small(gone, BROADCAST_IDS), "doc_id", "left_anti").select(docs.columns)
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).union(left.where("doc_id is null"))

@@ -208,3 +208,20 @@ def score(measured: DataFrame, forest: Forest, threshold: float = THRESHOLD) ->
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     measured = measure(docs)
     return score(measured, train(measured, labels))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least threshold; learns as classify does."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out(F.col("doc_id"), 4))
+    marks = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").join(known, "doc_id", "left_semi")
+    marks = materialize(marks.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample), "sample")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks.select("doc_id").distinct()), "doc_id", "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(train(measure(rows), marks, sample))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(shared.value.scores(statistics(batch.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
