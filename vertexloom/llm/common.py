@@ -167,7 +167,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, n: int = 5) -> tuple[n
     found = total[at]
     for k in np.flatnonzero((sizes > 0) & (sizes < n)):
         own = words[bounds[k] : bounds[k + 1]]
-        found[out[k]] = (own * _SHINGLE[: len(own)]).sum(dtype=np.uint64) + _SHINGLE[32 + len(own)]
+        found[out[k]] = (np.append(own, _U(1)) * np.append(_SHINGLE[: len(own)], _SHINGLE[32 + len(own)])).sum(dtype=np.uint64)
     return mix(found), out
 
 
