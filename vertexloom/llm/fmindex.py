@@ -77,6 +77,7 @@ class FMIndex:
         order = suffix_array(symbols)
         n = self.n = len(symbols)
         bwt = symbols[order - 1].astype(np.int64)
+        self.top = int(symbols.max(initial=0)) - 1
         self.levels = max(1, int(symbols.max(initial=0)).bit_length())
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=1 << 1))])
         self.ones, self.zeros = [], []
@@ -99,11 +100,11 @@ class FMIndex:
         return at - zero
 
     def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row intervals of right-aligned patterns; those with a symbol below 1 are absent."""
+        """Row intervals of right-aligned patterns; those with a symbol below 1 or not in the text are absent."""
         width = patterns.shape[1]
         low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         inside = np.arange(width)[None, :] >= (width - lengths)[:, None]
-        high[((patterns < 1) & inside).any(1)] = 0
+        high[(((patterns < 1) | (patterns > self.top)) & inside).any(1)] = 0
         for step in range(width):
             on = np.flatnonzero((lengths > step) & (high > low))
             if not len(on):
@@ -291,15 +292,15 @@ def remove_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     Rows meet by doc_id, so ids must be distinct; rows that have no spans stay as they are.
     """
-    marks = found.where(F.size("span_starts") > 0).select(F.col("doc_id").alias("span_id"), "span_starts", "span_ends")
+    marks = found.where(F.size("span_starts") > 0).select(F.col("doc_id").alias("_cut_id"), F.col("span_starts").alias("_cut_starts"), F.col("span_ends").alias("_cut_ends"))
     marks = broadcast_if_small(materialize(marks, "marks"), BROADCAST_ROWS)
-    joined = docs.join(marks, docs.doc_id == marks.span_id, "left").drop("span_id")
-    columns = [c for c in joined.columns if c not in ("span_starts", "span_ends")]
-    clean, dirty = joined.where("span_starts is null").select(columns), joined.where("span_starts is not null")
+    joined = docs.join(marks, docs.doc_id == marks._cut_id, "left").drop("_cut_id")
+    columns = [c for c in joined.columns if c not in ("_cut_starts", "_cut_ends")]
+    clean, dirty = joined.where("_cut_starts is null").select(columns), joined.where("_cut_starts is not null")
 
     def cut(batches):
         for batch in batches:
-            texts, starts_of, ends_of = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "span_starts", "span_ends"))
+            texts, starts_of, ends_of = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "_cut_starts", "_cut_ends"))
             out = []
             for at, data, offsets in blocks(texts):
                 starts, ends, bounds = word_spans(LOWER[data], offsets, ALNUM_SEP)
