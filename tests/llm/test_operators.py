@@ -134,6 +134,26 @@ def test_passages(spark, docs, odd, empty):
     assert passages.remove_repeats(odd, passages.repeated_passages(odd)).columns == odd.columns
 
 
+def template_variants(count, slot, before):
+    """Texts with a template, each value of its slot in two texts, and the ids of the later ones."""
+    texts, later, seen = [], [], set()
+    for k in range(count):
+        value = k * 7 % (count // 2)
+        words = [f"t{j}" for j in range(60)]
+        words[30 : 30 + slot] = [f"s{value}x{j}" for j in range(slot)]
+        texts.append((k, " ".join([f"a{k}x{j}" for j in range(before)] + words + [f"b{k}x{j}" for j in range(80)])))
+        if value in seen:
+            later.append(k)
+        seen.add(value)
+    return texts, later
+
+
+def test_passages_of_template_variants(spark):
+    texts, later = template_variants(200, 4, 70)
+    rows = passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows if r.start_word <= 70 and r.end_word >= 130} >= set(later)
+
+
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=60), st.lists(st.lists(st.integers(1, 5), min_size=1, max_size=4), min_size=1, max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_fm_index(text, patterns):
