@@ -154,6 +154,12 @@ def test_passages_of_template_variants(spark):
     assert {r.doc_id for r in rows if r.start_word <= 70 and r.end_word >= 130} >= set(later)
 
 
+def test_windows_at_the_same_place_ask_their_predecessor():
+    rows = pa.RecordBatch.from_arrays([pa.array([5, 5, 5]), pa.array([1, 2, 3]), pa.array([30 << 40 | 30 << 20 | 40] * 3)], ["key", "doc_id", "place"])
+    met = [(r["doc_id"], r["other"]) for b in passages._meet([rows]) for r in b.to_pylist()]
+    assert {(2, 1), (3, 1), (3, 2)} <= set(met)
+
+
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=60), st.lists(st.lists(st.integers(1, 5), min_size=1, max_size=4), min_size=1, max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_fm_index(text, patterns):
