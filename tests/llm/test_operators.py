@@ -160,6 +160,15 @@ def test_windows_at_the_same_place_ask_their_predecessor():
     assert {(2, 1), (3, 1), (3, 2)} <= set(met)
 
 
+def test_passages_that_begin_with_a_repeated_line():
+    for line, size in ((16, 46), (26, 56)):
+        own = np.arange(1000, 1000 + size, dtype=np.uint32)
+        y = np.concatenate([own[:line], np.arange(60, dtype=np.uint32), own, np.arange(100, 140, dtype=np.uint32)])
+        x = np.concatenate([np.arange(200, 240, dtype=np.uint32), own, np.arange(300, 340, dtype=np.uint32)])
+        assert passages.repeated(x, y) == [(40, 40 + size)]
+        assert passages.repeated(x, np.concatenate([own[:line], np.arange(60, dtype=np.uint32), own[line:]])) == []
+
+
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=60), st.lists(st.lists(st.integers(1, 5), min_size=1, max_size=4), min_size=1, max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_fm_index(text, patterns):
