@@ -3,9 +3,9 @@
 Each stage reads all that its predecessor kept (written as Parquet in between): the quality classifier
 drops what it rejects, one document of each group of near-duplicates stays, repeated passages go from
 all but the first document, benchmark passages go, and what is left is packed. Documents that lose
-all their words to a cut go; those that had none before stay. Null texts count as empty. Rows with a
-null doc_id pass the stages that work by id unchanged. Columns beyond those of documents are kept up
-to the last stage. An empty table gives no rows.
+all their words to a cut go; those that had none before stay. Null texts count as empty. Each row is a
+document of its own, also one whose doc_id is null or stands in another row. Columns beyond those of
+documents are kept up to the last stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,12 +33,11 @@ def _without_emptied(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without_emptied(docs, passages.remove_repeats(docs, passages.repeated_passages(docs)))
+    return _without_emptied(docs, passages.without_repeats(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = fmindex.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without_emptied(docs, fmindex.remove_spans(docs, found))
+    return _without_emptied(docs, fmindex.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

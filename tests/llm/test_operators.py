@@ -94,7 +94,9 @@ def test_minhash(spark, docs, odd, empty):
     assert rows[(4, 0, 4, True)] == rows[(5, 0, 5, True)] == rows[(6, 0, 6, True)] == rows[(7, 1, 7, True)] == rows[(8, 1, 7, False)] == 1
     assert minhash.near_duplicates(empty).count() == 0
     kept = minhash.keep_one(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 10, 11, 12]
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [1, 4, 5, 6, 7, 10, 11, 12]
+    twice = odd.where("doc_id = 1").limit(1).union(odd.where("doc_id = 10").withColumn("doc_id", F.lit(1).cast("long")))
+    assert sorted(r.text[:3] for r in minhash.keep_one(twice).collect()) == ["the", "w0 "]
 
 
 @given(st.lists(st.integers(0, 12), max_size=80), st.integers(1, 6))
@@ -131,7 +133,8 @@ def test_passages(spark, docs, odd, empty):
     cut = {r.doc_id: r.text for r in passages.remove_repeats(mine, passages.repeated_passages(mine)).collect()}
     assert "p30" in cut[0] and all("p30" not in cut[k] and f"d{k}x40" in cut[k] for k in range(1, 30))
     assert {r.doc_id for r in passages.repeated_passages(odd).collect()} == {2, 3} and passages.repeated_passages(empty).count() == 0
-    assert passages.remove_repeats(odd, passages.repeated_passages(odd)).columns == odd.columns
+    left = passages.without_repeats(odd)
+    assert left.columns == odd.columns and sum("w50" in (r.text or "") for r in left.collect()) == 1
 
 
 def template_variants(count, slot, before):
@@ -154,10 +157,71 @@ def test_passages_of_template_variants(spark):
     assert {r.doc_id for r in rows if r.start_word <= 70 and r.end_word >= 130} >= set(later)
 
 
-def test_windows_at_the_same_place_ask_their_predecessor():
-    rows = pa.RecordBatch.from_arrays([pa.array([5, 5, 5]), pa.array([1, 2, 3]), pa.array([30 << 40 | 30 << 20 | 40] * 3)], ["key", "doc_id", "place"])
-    met = [(r["doc_id"], r["other"]) for b in passages._meet([rows]) for r in b.to_pylist()]
-    assert {(2, 1), (3, 1), (3, 2)} <= set(met)
+def near_copies(n, seed, rng, insert=False):
+    """n texts around a passage of 50 words, one word of each changed (or put in) but that of the text in the middle."""
+    out = []
+    for k in range(n):
+        words = [f"p{seed}x{j}" for j in range(50)]
+        if k != n // 2:
+            at = int(rng.integers(50))
+            words[at : at + (not insert)] = [f"c{seed}x{k}"]
+        out.append((1000 * seed + k, " ".join([f"d{seed}x{k}x{j}" for j in range(60)] + words + [f"e{seed}x{k}x{j}" for j in range(60)])))
+    return out
+
+
+def component_sets(pairs):
+    parent = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    groups = collections.defaultdict(set)
+    for x in parent:
+        groups[find(x)].add(x)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_passages_of_near_copies(spark):
+    rng = np.random.default_rng(2)
+    sizes = [3, 20, 60, 200, 20, 60]
+    texts = [row for k, n in enumerate(sizes) for row in near_copies(n, k, rng, insert=k > 3)]
+    shingles = {}
+    for at, rows, hashes, bounds in common.text_shingles(pa.array([t for _, t in texts])):
+        shingles |= {texts[at + k][0]: hashes[bounds[k] : bounds[k + 1]].astype(np.uint32) for k in range(rows)}
+    want = {(a, b) for a in shingles for b in shingles if b < a and a // 1000 == b // 1000 and passages.repeated(shingles[a], shingles[b])}
+    got = {(r.doc_id, r.match_doc_id) for r in passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got <= want and component_sets(got) == component_sets(want)
+    later, found = {a for a, _ in want}, {a for a, _ in got}
+    for k in range(len(sizes)):
+        assert sum(x // 1000 == k for x in found) >= 0.95 * sum(x // 1000 == k for x in later)
+
+
+def test_groups_by_gaps_find_what_pairs_find():
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 256, 2 * passages.LENGTH - 1).astype(np.uint8)
+    around = np.repeat(base[None], 60, 0)
+    around[:, 60:] = rng.integers(1, 256, (60, around.shape[1] - 60))
+    for k in range(1, 60):
+        at = int(rng.integers(15, 55))
+        around[k, at : at + 5] = rng.integers(1, 256, 5)
+    doc = rng.permutation(60)
+    a, b = np.triu_indices(60, 1)
+    good, _ = passages.similar(around[a], around[b])
+    pairs = {frozenset((int(doc[x]), int(doc[y]))) for x, y in zip(a[good], b[good], strict=True)}
+    for x, y in (passages.links_of(doc, a[good], b[good]), passages._by_gaps(around, doc)):
+        found = {frozenset((int(doc[p]), int(doc[q]))) for p, q in zip(x, y, strict=True)}
+        assert found <= pairs and component_sets(map(tuple, found)) == component_sets(map(tuple, pairs))
+
+
+def test_positions_in_a_very_long_text(spark):
+    shared = " ".join(f"s{k}" for k in range(70))
+    long = " ".join(f"v{k % 977}y{k % 1009}" for k in range(9_000_000)) + " " + shared
+    found = passages.repeated_passages(spark.createDataFrame([(1, "u " + shared), (2, long)], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in found] == [(2, 9_000_000, 9_000_070, 1)]
 
 
 def test_passages_that_begin_with_a_repeated_line():
@@ -207,6 +271,10 @@ def test_decontamination(spark, odd, empty, monkeypatch):
     assert fmindex.contamination_report(fmindex.find_contamination(odd, bench.where("false"))).where("contaminated").count() == 0
     cut = {r.doc_id: r.text for r in fmindex.remove_spans(odd, fmindex.find_contamination(odd, bench)).collect()}
     assert "w19 w32" in " ".join(cut[2].split()) and cut[7] == "" and cut[12] == "Ab aB"
+    clean = fmindex.decontaminate(odd, bench).collect()
+    assert sorted((r.doc_id or 0, "w25" in (r.text or "")) for r in clean) == sorted((i or 0, False) for i, *_ in ODD)
+    same_id = spark.createDataFrame([(1, WORDS, 7), (1, "cc by the rest", 8), (1, "all clean", 9)], "doc_id long, text string, id long")
+    assert {r.id: r.text.split()[-1] for r in fmindex.decontaminate(same_id, bench).collect()} == {7: "w119", 8: "rest", 9: "clean"}
 
 
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), min_size=1, max_size=20), st.sampled_from(["norm", "dot"]), st.sampled_from([(40, 1600), (3, 1600), (40, 400)]))

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2_000_000
+BROADCAST_BYTES = 16_000_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -83,6 +84,11 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def broadcast_if_light(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its rows, of so many bytes each besides 32, take at most limit; beyond that the join is left to shuffle."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes + 32)).first()[0] or 0) <= limit else df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (in place on a copy)."""
     x = x.copy()
@@ -181,3 +187,62 @@ def text_shingles(array: pa.Array, n: int = 5) -> Iterator[tuple[int, int, np.nd
 
 def binary_rows(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+def with_row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column of distinct longs, and its name: doc_id where that is one; others follow the largest.
+
+    Of rows that share a doc_id the first by text keeps it; rows with a null doc_id have none to keep.
+    """
+    name = f"row_{uuid.uuid4().hex}"
+    rows = docs.withColumn(name, F.col("doc_id").cast("long"))
+    if rows.groupBy(name).count().where(F.col(name).isNull() | (F.col("count") > 1)).isEmpty():
+        return rows, name
+    low, high = rows.agg(F.min(name), F.max(name)).first()
+    if (high or 0) < 2**62:
+        base = (high or 0) + 1
+    elif low > 0:
+        base = -(2**62)
+    else:
+        raise ValueError("no room for ids of rows that have none of their own")
+    nth = F.row_number().over(Window.partitionBy(name).orderBy("text"))
+    own = rows.where(F.col(name).isNotNull()).withColumn(name, F.when(nth == 1, F.col(name)))
+    every = own.unionByName(rows.where(F.col(name).isNull()))
+    return materialize(every.withColumn(name, F.coalesce(F.col(name), F.lit(base) + F.monotonically_increasing_id())), "rows"), name
+
+
+def cut_words(docs: DataFrame, marks: DataFrame, key: str, sep: np.ndarray, follow: bool) -> DataFrame:
+    """docs without the words of marks(id, spans array of (a, b)), sorted word ranges [a, b) of the row whose key is id.
+
+    follow: the separators after a range go with it; else a space takes the range's place. Ranges beyond a
+    text's end stop there. n_chars follows the text where it is a column; rows without marks stay as they are.
+    """
+    marks = materialize(marks, "marks")
+    ident, spans = f"id_{uuid.uuid4().hex}", f"spans_{uuid.uuid4().hex}"
+    named = broadcast_if_light(marks.select(F.col("id").alias(ident), F.col("spans").alias(spans)), 16 * F.size(spans))
+    columns = docs.columns
+    joined = docs.join(named, F.col(key) == F.col(ident), "left").select(*columns, spans)
+    clean, dirty = joined.where(F.col(spans).isNull()).select(columns), joined.where(F.col(spans).isNotNull())
+
+    def run(batches):
+        for batch in batches:
+            texts, found = batch.column(columns.index("text")), batch.column(len(columns))
+            out = []
+            for at, data, offsets in blocks(texts):
+                starts, ends, bounds = word_spans(LOWER[data], offsets, sep)
+                for k in range(len(offsets) - 1):
+                    first, stop = starts[bounds[k] : bounds[k + 1]], ends[bounds[k] : bounds[k + 1]]
+                    parts, last, end = [], int(offsets[k]), int(offsets[k + 1])
+                    for span in found[at + k].as_py():
+                        a, b = span["a"], min(span["b"], len(first))
+                        if a >= b:
+                            continue
+                        parts.append(data[last : max(int(first[a]), last)].tobytes())
+                        past = int(stop[b - 1]) if not follow else int(first[b]) if b < len(first) else end
+                        last = max(past, last)
+                    parts.append(data[last:end].tobytes())
+                    out.append((b"" if follow else b" ").join(parts).decode().strip())
+            arrays = [pa.array(out, batch.column(j).type) if c == "text" else pa.array(map(len, out), batch.column(j).type) if c == "n_chars" else batch.column(j) for j, c in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    return clean.unionByName(dirty.mapInArrow(run, clean.schema))

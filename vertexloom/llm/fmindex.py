@@ -24,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import ALNUM_SEP, LOWER, blocks, broadcast_if_small, materialize, word_hashes, word_spans
+from vertexloom.llm.common import ALNUM_SEP, LOWER, blocks, cut_words, with_row_ids, word_hashes, word_spans
 
 WINDOW, SHARD_WORDS, SAMPLE = 10, 600_000, 16
 BLOCK_WINDOWS, PASS_BLOCKS = 50_000, 8
-BROADCAST_ROWS = 250_000  # rows of an id and a few spans that a broadcast may hold; beyond it the join shuffles
 SCHEMA = "doc_id long, n_words long, span_starts array<long>, span_ends array<long>, items array<long>, text_key binary"
 
 
@@ -287,34 +286,18 @@ def contamination_report(found: DataFrame) -> DataFrame:
     )
 
 
-def remove_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+def remove_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Docs with the text of their spans cut out (each replaced by one space); n_chars follows where it is a column.
 
-    Rows meet by doc_id, so ids must be distinct; rows that have no spans stay as they are.
+    Rows meet by the column key, whose values must be distinct; rows that have no spans stay as they are.
     """
-    marks = found.where(F.size("span_starts") > 0).select(F.col("doc_id").alias("_cut_id"), F.col("span_starts").alias("_cut_starts"), F.col("span_ends").alias("_cut_ends"))
-    marks = broadcast_if_small(materialize(marks, "marks"), BROADCAST_ROWS)
-    joined = docs.join(marks, docs.doc_id == marks._cut_id, "left").drop("_cut_id")
-    columns = [c for c in joined.columns if c not in ("_cut_starts", "_cut_ends")]
-    clean, dirty = joined.where("_cut_starts is null").select(columns), joined.where("_cut_starts is not null")
+    spans = F.zip_with("span_starts", "span_ends", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    marks = found.where(F.size("span_starts") > 0).select(F.col("doc_id").alias("id"), spans.alias("spans"))
+    return cut_words(docs, marks, key, ALNUM_SEP, follow=False)
 
-    def cut(batches):
-        for batch in batches:
-            texts, starts_of, ends_of = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "_cut_starts", "_cut_ends"))
-            out = []
-            for at, data, offsets in blocks(texts):
-                starts, ends, bounds = word_spans(LOWER[data], offsets, ALNUM_SEP)
-                for k in range(len(offsets) - 1):
-                    parts, last = [], int(offsets[k])
-                    for a, b in zip(starts_of[at + k].as_py(), ends_of[at + k].as_py(), strict=True):
-                        parts.append(data[last : starts[bounds[k] + a]].tobytes())
-                        last = int(ends[bounds[k] + b - 1])
-                    parts.append(data[last : offsets[k + 1]].tobytes())
-                    out.append(b" ".join(parts).decode().strip())
-            arrays = []
-            for c in columns:
-                column = batch.column(batch.schema.get_field_index(c))
-                arrays.append(pa.array(out, column.type) if c == "text" else pa.array(map(len, out), column.type) if c == "n_chars" else column)
-            yield pa.RecordBatch.from_arrays(arrays, columns)
-
-    return clean.unionByName(dirty.mapInArrow(cut, clean.schema))
+
+def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Docs without what they hold of bench; each row is a document of its own, also one with a null or repeated doc_id."""
+    rows, key = with_row_ids(docs)
+    found = find_contamination(rows.select(F.col(key).alias("doc_id"), "text"), bench, window)
+    return remove_spans(rows, found, key).select(docs.columns)

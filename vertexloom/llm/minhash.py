@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import binary_rows, broadcast_if_small, materialize, mix, text_shingles
+from vertexloom.llm.common import binary_rows, broadcast_if_small, materialize, mix, text_shingles, with_row_ids
 from vertexloom.llm.components import connected_components
 
 BANDS, ROWS, SHINGLE, PERCENT = 16, 3, 5, 75
@@ -186,10 +186,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id. Rows with a null doc_id stay."""
-    found = materialize(near_duplicates(docs, percent), "groups")
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(broadcast_if_small(gone, BROADCAST_IDS), "doc_id", "left_anti").select(docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).union(left.where("doc_id is null"))
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id.
+
+    Each row is a document of its own, also one with a null or repeated doc_id: such rows stay unless their
+    text is a near-duplicate of one that does.
+    """
+    rows, key = with_row_ids(docs)
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), percent)
+    gone = materialize(found.where("not kept").select(F.col("doc_id").alias(key)), "gone")
+    return rows.join(broadcast_if_small(gone, BROADCAST_IDS), key, "left_anti").select(docs.columns)
