@@ -1,8 +1,10 @@
 """Each corpus operator against a brute-force version, and on odd rows."""
 
 import collections
+import fractions
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -318,6 +320,26 @@ def test_packing(spark, docs, odd, empty):
     assert packing.pack_documents(odd, VOCABULARY).where("piece = 0").count() == len(ODD) and packing.pack_documents(empty, VOCABULARY).count() == 0
 
 
+@given(st.text(st.sampled_from(" \t\n\u00a0\u2003\x1c\x85aZ\u00e9\u4e2d1.'s<|>"), max_size=60), st.integers(2, 8))
+@settings(max_examples=200, deadline=None)
+def test_encoding_in_parts(text, limit):
+    encode, tool = packing.encoder(VOCABULARY), tokenizers.Tokenizer.from_file(VOCABULARY)
+    whole = tool.encode(text, add_special_tokens=False).ids
+    assert encode(text) == whole
+    old, pattern = packing.LONG_SPACE, packing._LONG
+    packing.LONG_SPACE, packing._LONG = limit, re.compile(pattern.pattern.replace(str(old), str(limit)))
+    try:
+        assert encode(text) == whole
+    finally:
+        packing.LONG_SPACE, packing._LONG = old, pattern
+
+
+def test_encoding_of_long_runs():
+    encode, tool = packing.encoder(VOCABULARY), tokenizers.Tokenizer.from_file(VOCABULARY)
+    for text in (" " * 2_000_000 + "a", "x" + "\n" * 1_200_000, "a" * 300_000, " \t" * 600_000 + "\u00e9", "1" * 200_000):
+        assert encode(text) == tool.encode(text, add_special_tokens=False).ids
+
+
 def test_kneser(spark, docs, odd, empty):
     texts = {r.doc_id: [*spaced(r.text), None] for r in docs.collect()}
     train = {i: w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2}
@@ -369,6 +391,19 @@ def test_top_k(spark):
     assert len(few) == 2
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1.5, -2.0, 3.0]), (1, [300_000.0, 1.0, 0.0]), (2, [1e6, -1e6, 1e6]), (3, [1e300, 0.0, -1.0]), (4, [-1e300, 1e300, 0.25]), (50, [1e300, 1e290, 2.0]), (6, [1e308, 0.0, 0.0]), (7, [0.5, 0.5, 0.5]), (100, [-5e-324, 1e16, 3.7])]
+    ints = {i: [math.floor(fractions.Fraction(x) * 256) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 100):
+        best = sorted((-sum(x * y for x, y in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:5]
+        want += [(q, k + 1, i, max(-topk.LONG, min(topk.LONG, -s))) for k, (s, i) in enumerate(best)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == want
+    assert topk._order_key(-(16**40)) < topk._order_key(-(16**39)) < topk._order_key(16**20) < topk._order_key(16**20 + 1) < topk._order_key(16**21)
+
+
 def test_licenses(spark, odd, empty):
     texts = ["Released under the MIT License.", "x CC-BY: licensed under CC BY-NC 4.0, all rights reserved", "GNU General Public License, version 3; all rights", "rights all reserved", "licenKe cc Kby", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -403,6 +438,45 @@ def test_html(spark):
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "T & U Onetwo three Four é x", 27), (2, "", 0), (2, "", 0), (None, "just text", 9)]
 
 
+#: Pages written by hand: what is between the bars is the article.
+PAGES = [
+    """<!doctype html><html lang=en><head><title>Bread | Kitchen notes</title><style>p{color:red}</style></head><body>
+<div id="cookie-banner"><p>We use cookies to improve your visit.</p><button>Accept</button></div>
+<header><a href="/">Kitchen notes</a><nav><ul><li><a href="/a">Recipes</a></li><li><a href="/b">About</a></li></ul></nav></header>
+<main><article><h1>|How to bake bread|</h1><p>|Mix flour &amp; water, then wait for the dough to rise overnight.|</p>
+<h2>|Baking|</h2><p>|Heat the oven to 220&nbsp;degrees and bake for forty minutes.|</p><ul><li>|Use a heavy pot.|</li><li>|Do not open it early.|</li></ul></article>
+<section id="comments"><h3>Comments</h3><div class="comment"><p>Great recipe, thank you so much!</p></div></section></main>
+<aside class="sidebar"><h3>Popular</h3><ul><li><a href="/1">Ten cakes</a></li><li><a href="/2">Soup</a></li></ul></aside>
+<footer><p>Copyright 2024 Kitchen notes. All rights reserved.</p></footer><script>var x = "<p>no</p>";</script></body></html>""",
+    """<html><body><div class="navbar"><a href="/">Home</a> <a href="/news">News</a> <a href="/sport">Sport</a></div>
+<div class="content"><h1>|Council approves new bridge|</h1><p>|The city council voted on Tuesday to replace the old bridge over the river.|</p>
+<div class="ad-banner">Buy two tyres and get two free this weekend only</div>
+<p>|Work will begin in spring, and <em>traffic</em> will be moved to the <a href="/x">northern road</a> until the end of next year.|</p>
+<blockquote><p>|It was about time, said the mayor.|</p></blockquote></div>
+<div id="footer">Contact us | Terms of use | Privacy</div></body></html>""",
+    """<body><nav class="menu"><ul><li><a href="#">Start</a><li><a href="#">Archive</a></ul></nav><article class="post">
+<h1>|Numbers and <svg/>drawings|</h1><p>|The area is <math><mi>r</mi><mo>=</mo><mn>2</mn></math>, as the proof shows in the end.|<p>|A second paragraph that is never closed, with a table below.|
+<table><tr><td>|one|<td>|two|</table></article><form action="/s"><label>Search</label><input name=q><button>Go</button></form>
+<div class="newsletter"><p>Subscribe to our newsletter and never miss a post.</p></div><footer>Imprint</footer>""",
+]
+
+
+def test_pages_written_by_hand():
+    for page in PAGES:
+        parts = re.findall(r"\|([^|]*)\|(?=<|\n)", page)
+        want = " ".join(" ".join(re.sub("<[^>]*>", "", p).replace("&amp;", "&").replace("&nbsp;", " ").split()) for p in parts)
+        assert htmltree.extract(re.sub(r"\|([^|]*)\|(?=<|\n)", r"\1", page), htmltree.model()) == want
+
+
+def test_html_of_broken_pages():
+    start, text = "<article><p>Some text of a page.</p>", "Some text of a page."
+    for rest in ("<a" + "x" * 1_000_000, "<a b='>'" * 100_000, '<a "' * 200_000, "<div>" * 50_000 + "</p>" * 50_000, "<!" * 300_000, "<a b=" + " " * 1_000_000 + '"', "<script>" * 100_000):
+        began = time.time()
+        assert htmltree.extract(start + rest, htmltree.model()) == text and time.time() - began < 3
+    assert htmltree.extract(start + "<p>one<a title=\"never closed>two</a></p><p>1 < 2 <svg/>three</p>", htmltree.model()) == text + " onetwo 1 < 2 three"
+    assert htmltree.extract(start + "<p>a <math><mi>x</mi></math> <noscript>b</noscript> <object>c</object></p></article>", htmltree.model()).split()[-3:] == ["x", "b", "c"]
+
+
 @given(st.lists(st.integers(0, 4), min_size=0, max_size=7), st.integers(0, 2**31))
 @settings(max_examples=40, deadline=None)
 def test_marginals(shape, seed):

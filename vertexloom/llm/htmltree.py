@@ -9,13 +9,15 @@ generates layouts (menus, headers, footers, sidebars, notices, adverts, forms, r
 around an article) with known labels.
 
 Text: character references decoded, white space inside a block one space, blocks joined by one space
-in page order; scripts, styles, comments and markup are gone. Rows: one for each page; null or empty
+in page order; scripts, styles, form fields, frames, templates, comments and markup are gone; formulas, drawings' text and what
+stands in for missing scripts or objects are part of the block that holds them. Rows: one for each page; null or empty
 html gives an empty text; unclosed and stray tags are closed or ignored as browsers do, roughly;
 page_id and url pass through, null or repeated. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import collections
 import functools
 import html as entities
 import math
@@ -28,16 +30,15 @@ from pyspark.sql import functions as F
 
 SEED, PAGES, EPOCHS, RATE = 8, 600, 12, 0.3
 
-# A comment, a declaration, a tag with well-formed quotes, a tag without, a tag that the page's end cuts off.
-_TOKEN = re.compile(
-    r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</[^a-zA-Z][^>]*>|</?[a-zA-Z][^>]*$""", re.S
-)
+_TAG = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I | re.S)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
-_RAW = frozenset("script style textarea title noscript iframe template svg math object video audio canvas select".split())
+#: Elements without text of the page: code, form fields, the window's title, other pages, unused parts.
+_RAW = frozenset("script style textarea title iframe template select".split())
 _VOID = frozenset("area base col embed hr img input link meta param source track wbr br".split())
 _BLOCK = frozenset(
-    "html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset legend table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary button dialog center hgroup menu search label".split()
+    "html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset legend table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary button dialog center hgroup menu search label noscript".split()
 )
 _CLOSES_P = _BLOCK - {"html", "head", "body", "button", "label", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
@@ -67,10 +68,47 @@ class Node:
         self.own = self.links = self.kids = 0
 
 
+def _tag_end(page: str, at: int, last: dict[str, int]) -> tuple[int, int]:
+    """Where a tag's attributes, which begin at at, and the tag itself end.
+
+    A quote counts where a value begins and is closed somewhere; a tag that is never closed takes the rest of the page.
+    """
+    spot = at
+    while stop := _STOP.search(page, spot):
+        c, place, spot = stop[0], stop.start(), stop.end()
+        if c == ">":
+            return place, spot
+        before = place - 1
+        while before >= at and page[before].isspace():
+            before -= 1
+        if before >= at and page[before] == "=" and last[c] >= spot:
+            spot = page.find(c, spot) + 1
+    return len(page), len(page)
+
+
+def next_markup(page: str, at: int, last: dict[str, int]) -> tuple[int, int, str, bool, str] | None:
+    """(start, end, name, closes, attributes) of the first markup from at on; comments and declarations have no name.
+
+    last: the last places of quotes and closing brackets, so that nothing is looked for that is not there.
+    """
+    while (start := page.find("<", at)) >= 0:
+        closes = page.startswith("/", start + 1)
+        if page.startswith("<!--", start):
+            found = page.find("-->", start + 4)
+            return start, found + 3 if found >= 0 else len(page), "", False, ""
+        if m := _TAG.match(page, start + 1):
+            inner, end = _tag_end(page, m.end(), last)
+            return start, end, m[1].lower(), closes, page[m.end() : inner]
+        if closes or page.startswith(("!", "?"), start + 1):
+            return start, page.find(">", start) + 1 if last[">"] > start else len(page), "", False, ""
+        at = start + 1
+    return None
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The block elements of a page, parents first, and its text runs (node, text) in page order."""
     nodes, runs = [Node(-1, "root", frozenset())], []
-    stack, current, link = [0], [], 0
+    stack, current, link, open_ = [0], [], 0, collections.Counter()
 
     def flush() -> None:
         text = " ".join("".join(current).split())
@@ -87,30 +125,30 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 nodes[stack[-1]].links += len(text.strip())
 
     def close(names: frozenset | set, stop: frozenset = frozenset()) -> None:
+        if not any(open_[name] for name in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             tag = nodes[stack[k]].tag
             if tag in names:
                 flush()
+                open_.subtract(nodes[j].tag for j in stack[k:])
                 del stack[k:]
                 return
             if tag in stop:
                 return
 
-    at = 0
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
-            continue
-        name, end = name.lower(), bool(m[1] or m[4])
+    at, last = 0, {c: page.rfind(c) for c in ">\"'"}
+    while step := next_markup(page, at, last):
+        start, after, name, end, attributes = step
+        add(page[at:start])
+        at = after
         if name == "a":
             link = 0 if end else 1
         elif name == "br" or name == "hr":
             current.append(" ")
         elif name in _RAW and not end:
-            found = re.compile(rf"</{name}(?=[\s/>]|$)[^>]*>?", re.I).search(page, at)
-            at = found.end() if found else len(page)
+            stop = re.compile(rf"</{name}(?=[\s/>]|$)[^>]*>?", re.I).search(page, at)
+            at = stop.end() if stop else len(page)
         elif name in _BLOCK:
             if end:
                 close({name})
@@ -121,7 +159,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if name in _SAME:
                 close(_SAME[name], _SCOPE - _SAME[name])
             hints = set()
-            for key, value in _NAMES.findall(m[3] or m[6] or ""):
+            for key, value in _NAMES.findall(attributes):
                 key = key.lower()
                 if key == "hidden" or key == "aria-hidden" and "true" in value:
                     hints.add("hidden")
@@ -132,6 +170,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes.append(Node(stack[-1], name, frozenset(hints)))
             nodes[stack[-1]].kids += 1
             stack.append(len(nodes) - 1)
+            open_[name] += 1
     add(page[at:])
     flush()
     return nodes, runs

@@ -6,7 +6,7 @@ of which the first may be shorter. A bin has three capacities: tokens, documents
 by length, longest first: at most `tokens` counts reach the driver whatever the corpus holds. Among
 the bins that can take a piece under every constraint, the one with the best score gets it: the
 weighted norm of what would stay free ("norm", smallest) or the weighted dot product of demand and
-free capacity ("dot", largest). Bins in the same state are handled together. A placement says which
+free capacity ("dot", largest). Bins that took the same pieces are handled together. A placement says which
 ranks of a length go to which bins; each piece's rank is its place among those of its length, from
 counts by input partition, so no task sees all pieces of a length.
 
@@ -17,6 +17,7 @@ doc_ids are packed row by row. An empty table gives no rows. Further columns are
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -30,6 +31,9 @@ from vertexloom.llm.common import materialize
 
 TOKENS, END_ID = 1024, 2
 _MARK = "<|endoftext|>"  # a special token of the vocabulary: in a text, the tokenizer takes it for its id
+LONG_SPACE = 20_000  # characters of white space in a row that are encoded apart
+#: The characters that \\s of the tokenizer's pattern means.
+_LONG = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_SPACE)
 _ENCODERS: dict[str, tuple] = {}
 
 
@@ -53,12 +57,22 @@ def encoder(path: str):
         _ENCODERS[path] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), mark
     tool, mark = _ENCODERS[path]
 
+    def plain(text: str) -> list[int]:
+        """A run of white space is one piece but for its last character before something else; the pattern's matcher overflows on very long ones."""
+        out, at = [], 0
+        if len(text) > LONG_SPACE:
+            for run in _LONG.finditer(text):
+                end = run.end() - (run.end() < len(text))
+                out += tool.encode_ordinary(text[at : run.start()]) + tool._encode_single_piece(text[run.start() : end])
+                at = end
+        return out + tool.encode_ordinary(text[at:])
+
     def encode(text: str) -> list[int]:
         if mark is None or _MARK not in text:
-            return tool.encode_ordinary(text)
+            return plain(text)
         out: list[int] = []
         for k, part in enumerate(text.split(_MARK)):
-            out += ([mark] if k else []) + tool.encode_ordinary(part)
+            out += ([mark] if k else []) + plain(part)
         return out
 
     return encode
@@ -131,7 +145,7 @@ def plan(counts: dict[int, int], tokens: int = TOKENS, documents: int = TOKENS,
                 size[at] = used
             free[at] = free[at] - copies * demand
             left, rank = left - used * copies, rank + used * copies
-        # Bins that can take nothing more, and equal states that lie side by side, need no entry of their own.
+        # Bins that can take nothing more need no entry.
         keep = (free[:, 0] > 0) & (free[:, 1] > 0) & (free[:, 2] > 0)
         free, size, start = free[keep], size[keep], start[keep]
     return np.array(out, np.int64).reshape(-1, 6)

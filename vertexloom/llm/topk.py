@@ -7,24 +7,33 @@ still unprocessed is below the current impact, so each score is known within a b
 integers in floats of sufficient width); a query stops when so few vectors can still be among its k best that scoring those exactly is cheaper than going
 on. All possible members are rescored exactly, so the result is exact wherever a query stops.
 
-Queries are broadcast in blocks of at most `QUERY_BLOCK`, one pass over the vectors each; a partition
-returns k rows a query, and the last step picks among them.
+Queries are broadcast in blocks of at most `QUERY_BLOCK`, and `PASS_BLOCKS` blocks make one pass over
+the vectors, in which each index is built once for all of them; a partition returns k rows a query,
+and the last step picks among them.
+
+Vectors with a component beyond `WIDE` are not in the index: they meet the queries, and queries that
+hold such a component meet all vectors, in Python's integers, which have no bound.
 
 Rows: vectors that are null, or hold null or non-finite components, and rows with a null vec_id take
 no part. Vectors of different lengths score over their common components. Rows with a query's vec_id
 are its own and no candidates; a repeated query id is asked once, with its largest vector. Ties go
-to the smaller vec_id; fewer candidates than k give fewer rows; an empty table gives none.
+to the smaller vec_id; ranks follow exact scores, and a score that no long can hold is returned as the
+nearest long; fewer candidates than k give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE, STEP, INDEX_ROWS, QUERY_BLOCK, CHUNK = 256, 4, 4096, 2048, 256
+SCALE, STEP, INDEX_ROWS, QUERY_BLOCK, PASS_BLOCKS, CHUNK = 256, 4, 4096, 2048, 8, 256
 CHECKS = (8, 4, 2, 1, 0)  # impacts at which queries may stop
+WIDE = 2**19  # sums over 2**15 dimensions of products below stay exact in floats
+LONG = 2**63 - 1
 
 
 def usable(vector: Column) -> Column:
@@ -32,15 +41,20 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(False))
 
 
-def _matrix(lists: pa.Array, width: int = 0) -> np.ndarray:
-    """Integer rows, shorter ones filled with 0."""
+def _matrix(lists: pa.Array, width: int = 0) -> tuple[np.ndarray, dict[int, list[int]]]:
+    """Integer rows, shorter ones filled with 0; rows with a component beyond `WIDE` are 0 there and stand apart by row."""
     sizes = np.asarray(lists.value_lengths(), np.int64)
-    flat = np.floor(SCALE * lists.flatten().to_numpy(zero_copy_only=False).astype(float))
-    if len(flat) and np.abs(flat).max() >= 2**26:
-        raise OverflowError("a component is too large for exact integer scores")
+    raw = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    far = np.unique(owner[np.abs(raw) * SCALE >= WIDE])
+    if len(sizes) and int(sizes.max()) > 2**15:
+        far = np.arange(len(sizes))
+    # From 2**52 on a float is an integer, so it is scaled as one.
+    wide = {int(r): [int(x) * SCALE if abs(x) >= 2**52 else math.floor(x * SCALE) for x in raw[owner == r].tolist()] for r in far}
+    flat = np.floor(SCALE * np.where(np.isin(owner, far), 0.0, raw))
     out = np.zeros((len(sizes), max(width, int(sizes.max(initial=0)))), np.int64)
-    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    return out
+    out[owner, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out, wide
 
 
 class ImpactIndex:
@@ -55,9 +69,6 @@ class ImpactIndex:
         rows, dims, levels, signs = rows[order], dims[order], levels[order], signs[order]
         key = (levels * vectors.shape[1] + dims) * 2 + signs
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
-        # Exact products in floats need sums below 2**53.
-        if float(self.peak) ** 2 * vectors.shape[1] >= 2**53:
-            raise OverflowError("components are too large for exact integer scores")
         self.segments = [
             (int(levels[a]), int(dims[a]), -1 if signs[a] else 1, rows[a:b]) for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True)
         ]
@@ -100,29 +111,68 @@ class ImpactIndex:
                 at += 1
 
 
-def _search(shared, k: int):
+def _order_key(score: int) -> str:
+    """Text that sorts as scores do which no long can hold: length and digits, complemented below 0."""
+    digits = f"{abs(score):x}"
+    text = f"{len(digits):08x}{digits}"
+    return "p" + text if score >= 0 else "n" + "".join(f"{15 - int(c, 16):x}" for c in text)
+
+
+def _exact(queries: np.ndarray, wide_queries: dict, vectors: np.ndarray, wide_vectors: dict):
+    """(query row, vector row, score) of all pairs in which a wide vector takes part."""
+    for q, own in wide_queries.items():
+        for r in range(len(vectors)):
+            yield q, r, sum(x * y for x, y in zip(own, wide_vectors.get(r) or vectors[r].tolist()))
+    for r, own in wide_vectors.items():
+        for q in range(len(queries)):
+            if q not in wide_queries:
+                yield q, r, sum(x * y for x, y in zip(own, queries[q].tolist()))
+
+
+class _Best:
+    """The k best of each query of a block so far."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, wide: dict, k: int):
+        self.ids, self.queries, self.wide, self.k = ids, queries, wide, k
+        self.found: list[list[tuple[int, int]]] = [[] for _ in ids]
+        self.floor = np.full(len(ids), np.iinfo(np.int64).min // 4)
+        self.narrow = np.array([q for q in range(len(ids)) if q not in wide], np.int64)
+
+    def ask(self, index: ImpactIndex | None, ids: np.ndarray, vectors: np.ndarray, wide: dict) -> None:
+        queries = self.queries if vectors.shape[1] == self.queries.shape[1] else np.pad(self.queries, ((0, 0), (0, vectors.shape[1] - self.queries.shape[1])))
+        for c in range(0, len(self.narrow) if index else 0, CHUNK):
+            part = self.narrow[c : c + CHUNK]
+            for q, row, score in index.search(self.ids[part], queries[part], self.k, self.floor[part]):
+                self.found[part[q]].append((-score, int(index.ids[row])))
+        for q, row, score in _exact(queries, self.wide, vectors, wide):
+            if ids[row] != self.ids[q]:
+                self.found[q].append((-score, int(ids[row])))
+        for q, found in enumerate(self.found):
+            found.sort()
+            del found[self.k :]
+            if len(found) == self.k:
+                self.floor[q] = max(-(2**61), min(2**61, -found[-1][0]))
+
+
+def _search(shared: list, k: int):
     def run(batches):
-        query_ids, queries = shared.value
-        best: list[list[tuple[int, int]]] = [[] for _ in query_ids]
-        floor = np.full(len(query_ids), np.iinfo(np.int64).min // 4)
+        blocks = [_Best(*block.value, k) for block in shared]
+        width = max(block.queries.shape[1] for block in blocks)
         for batch in batches:
             for at in range(0, batch.num_rows, INDEX_ROWS):
                 some = batch.slice(at, INDEX_ROWS)
-                vectors = _matrix(some.column(1), queries.shape[1])
-                asked = queries if vectors.shape[1] == queries.shape[1] else np.pad(queries, ((0, 0), (0, vectors.shape[1] - queries.shape[1])))
-                index = ImpactIndex(some.column(0).to_numpy(), vectors)
-                for c in range(0, len(query_ids), CHUNK):
-                    part = slice(c, c + CHUNK)
-                    for q, row, score in index.search(query_ids[part], asked[part], k, floor[part]):
-                        best[c + q].append((-score, int(index.ids[row])))
-                for q, found in enumerate(best):
-                    found.sort()
-                    del found[k:]
-                    if len(found) == k:
-                        floor[q] = -found[-1][0]
-        rows = [(int(query_ids[q]), vec, -negative) for q, found in enumerate(best) for negative, vec in found]
+                vectors, wide = _matrix(some.column(1), width)
+                ids = some.column(0).to_numpy()
+                narrow = np.array([r for r in range(len(ids)) if r not in wide], np.int64)
+                index = ImpactIndex(ids[narrow], vectors[narrow]) if len(narrow) else None
+                for block in blocks:
+                    block.ask(index, ids, vectors, wide)
+        rows = [(int(block.ids[q]), vec, -negative) for block in blocks for q, found in enumerate(block.found) for negative, vec in found]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["query_id", "vec_id", "score"])
+            beyond = [(s > LONG) - (s < -LONG) for *_, s in rows]
+            columns = [[q for q, *_ in rows], [v for _, v, _ in rows], [max(-LONG, min(LONG, s)) for *_, s in rows], beyond]
+            keys = [_order_key(s) if far else "" for (*_, s), far in zip(rows, beyond, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(keys)], ["query_id", "vec_id", "score", "beyond", "order_key"])
 
     return run
 
@@ -132,11 +182,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = good.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     sc = vectors.sparkSession.sparkContext
-    found, ids, rows = [], [], []
+    passes, ids, rows = [[]], [], []
 
     def flush():
-        shared = sc.broadcast((np.array(ids, np.int64), _matrix(pa.array(rows, pa.list_(pa.float64())))))
-        found.append(good.mapInArrow(_search(shared, k), "query_id long, vec_id long, score long"))
+        if len(passes[-1]) == PASS_BLOCKS:
+            passes.append([])
+        passes[-1].append(sc.broadcast((np.array(ids, np.int64), *_matrix(pa.array(rows, pa.list_(pa.float64()))))))
         ids.clear(), rows.clear()
 
     for row in good.where(is_query).groupBy("vec_id").agg(F.max("embedding").alias("embedding")).toLocalIterator():
@@ -144,10 +195,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         rows.append(row[1])
         if len(ids) == QUERY_BLOCK:
             flush()
-    if ids or not found:
+    if ids or not passes[0]:
         flush()
+    found = [good.mapInArrow(_search(blocks, k), "query_id long, vec_id long, score long, beyond long, order_key string") for blocks in passes]
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("order_key"), F.desc("score"), "vec_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
