@@ -340,38 +340,75 @@ def test_encoding_of_long_runs():
         assert encode(text) == tool.encode(text, add_special_tokens=False).ids
 
 
-def test_kneser(spark, docs, odd, empty):
-    texts = {r.doc_id: [*spaced(r.text), None] for r in docs.collect()}
-    train = {i: w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2}
-    count = collections.Counter(x for w in train.values() for x in w)
-    pairs = collections.Counter(p for w in train.values() for p in zip([0, *w[:-1]], w, strict=True))
-    total, kinds = sum(count.values()), len(count)
-
-    def cut(counts):
-        n = [sum(1 for x in counts if x == k) for k in (1, 2, 3, 4)]
-        return [0, *kneser.discounts(n)]
-
-    after, context = collections.Counter(b for _, b in pairs), collections.defaultdict(list)
-    for (a, _), n in pairs.items():
-        context[a].append(n)
-    d1, d2, types = cut(after.values()), cut(pairs.values()), len(pairs)
-    spare = sum(d1[min(n, 3)] for n in after.values()) / types
-
-    def p(a, b):
-        n = after.get(b, 0)
-        low = (n - d1[min(n, 3)]) / types + spare / (kinds + 1)
-        if a not in context:
+class PlainKneser:
+    """Interpolated modified Kneser-Ney over tuples of words, from its definition."""
+
+    def __init__(self, texts, order):
+        self.order, self.count = order, collections.Counter(x for w in texts for x in w)
+        grams = [collections.Counter() for _ in range(order + 1)]
+        for w in texts:
+            own = [0, *w]
+            for n in range(2, order + 1):
+                grams[n].update(tuple(own[k : k + n]) for k in range(len(own) - n + 1))
+        self.values = {order: grams[order]}
+        for n in range(order - 1, 0, -1):
+            after = collections.Counter(g[1:] for g in self.values[n + 1])
+            self.values[n] = after + collections.Counter({g: c for g, c in grams[n].items() if g[0] == 0})
+        self.cuts = {n: [0, *kneser.discounts([sum(1 for x in v.values() if x == k) for k in (1, 2, 3, 4)])] for n, v in self.values.items()}
+        self.contexts = {n: collections.defaultdict(list) for n in self.values}
+        for n, v in self.values.items():
+            for g, c in v.items():
+                self.contexts[n][g[:-1]].append(c)
+        self.sums = {n: {g: (sum(found), sum(self.cuts[n][min(x, 3)] for x in found)) for g, found in v.items()} for n, v in self.contexts.items()}
+
+    def p(self, gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / (len(self.count) + 1)
+        low, found = self.p(gram[1:]), self.sums[n].get(gram[:-1])
+        if not found:
             return low
-        k = pairs.get((a, b), 0)
-        return (k - d2[min(k, 3)] + sum(d2[min(x, 3)] for x in context[a]) * low) / sum(context[a])
+        cut, c = self.cuts[n], self.values[n].get(gram, 0)
+        return (c - cut[min(c, 3)] + found[1] * low) / found[0]
+
+    def score(self, words):
+        own = [0, *words]
+        return sum(math.log10(self.p(tuple(own[max(0, k + 1 - self.order) : k + 1]))) for k in range(1, len(own)))
 
-    assert abs(sum(p(0, w) for w in count) + p(0, "never seen") - 1) < 1e-9
-    for r in kneser.score_corpus(docs).collect():
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser(spark, docs, odd, empty, order):
+    texts = {r.doc_id: [*spaced(r.text), None] for r in docs.collect()}
+    train = {i: w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2}
+    plain_model = PlainKneser(train.values(), order)
+    count, total = plain_model.count, sum(len(w) for w in train.values())
+    kinds = len(count)
+    assert abs(sum(plain_model.p((0, w)) for w in count) + plain_model.p((0, "never seen")) - 1) < 1e-9
+    for r in kneser.score_corpus(docs, order=order).collect():
         w = texts[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(x in count for x in w), total, r.doc_id not in train)
         assert math.isclose(r.base_score, sum(math.log10((count.get(x, 0) + 1) / (total + kinds + 1)) for x in w), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip([0, *w[:-1]], w, strict=True)), rel_tol=1e-6)
-    assert kneser.score_corpus(odd).count() == len(ODD) and kneser.score_corpus(empty).count() == 0
+        assert math.isclose(r.score, plain_model.score(w), rel_tol=1e-9)
+    assert kneser.score_corpus(odd, order=order).count() == len(ODD)
+    assert {r.score for r in kneser.score_corpus(empty, order=order).collect()} == set()
+    about = kneser.train(empty, order=order)
+    assert {r.score for r in kneser.score(odd, about).collect()} == {0.0}
+
+
+@given(st.integers(1, 10**9), st.integers(1, 5000), st.lists(st.tuples(st.integers(0, 10**9), st.integers(0, 10**9)), min_size=1, max_size=30))
+@settings(max_examples=100, deadline=None)
+def test_pairs_of_grams(size, buckets, pairs):
+    grams = kneser.Grams(size, buckets)
+    prefix, suffix = (np.array(c) % (size + k) for k, c in ((1, [a for a, _ in pairs]), (0, [b for _, b in pairs])))
+    bucket, keys = grams.keys(prefix, suffix)
+    for b, k, x, y in zip(bucket, keys, prefix, suffix, strict=True):
+        assert [int(v[0]) for v in grams.pair(int(b), np.array([k]))] == [x, y]
+    for small in (True, False):
+        far = bucket if small else bucket + 2**40
+        found = kneser.tally(far, keys)
+        assert collections.Counter(zip(far.tolist(), keys.tolist(), strict=True)) == {(b, k): c for b, k, c in zip(*(v.tolist() for v in found), strict=True)}
+        places = kneser.tally(far, keys, inverse=True)
+        assert (places[0][places[2]] == far).all() and (places[1][places[2]] == keys).all()
 
 
 def test_top_k(spark):

@@ -1,20 +1,23 @@
-"""Operator 3: interpolated modified Kneser-Ney scoring with a memory-mapped n-gram model.
-
-The model has order 2: with higher orders the distinct n-grams of the corpus outgrow the shuffle and
-the stored model that the target allows. Words are counted under 64-bit hashes; a bigram's key holds
-32 bits of its context's hash and 32 of its word's, so contexts merge with probability 2**-32 a pair.
-
-Counting: each task sorts its bigram keys per chunk of text, counts repeats, and sends what falls into
-a key bucket as one row of delta-coded bytes (map-side combining); a bucket merges its rows, notes
-its counts of counts, adds up context totals and continuation counts, and writes its keys as sorted
-arrays into the shared folder. Buckets are ranges of a mixed key, so frequent words spread over all
-of them, and their number follows the corpus. Scoring maps the arrays into memory and looks up the
-sorted keys of a chunk of text at once. Discounts come from counts of counts, order by order; the
-unigram level interpolates with a uniform distribution over the vocabulary and one unknown word.
+"""Operator 3: interpolated modified Kneser-Ney scoring with a memory-mapped n-gram model of order 2 or 3.
+
+Words are counted under 64-bit hashes, sorted into arrays, and numbered by their place there. A longer
+gram is the pair (number of its first words, number of its last words) of two grams one word shorter,
+and is numbered by its place among the sorted pairs in turn, so grams never share a key whatever the
+vocabulary; counts are 64 bits wide. Pairs are dealt to buckets by (mix(prefix) + suffix) modulo their
+number, which spreads the grams of a frequent word over all of them, and within a bucket a pair is one
+64-bit key.
+
+Counting, once an order: each task sorts its keys per chunk of text, counts repeats, and sends what
+falls into a bucket as one row of delta-coded bytes (map-side combining); a bucket merges its rows,
+writes its keys as a sorted array into the shared folder, and adds up what its grams tell of their
+prefixes (totals and numbers of followers seen once, twice and more often) and of their suffixes
+(how many words they follow). Discounts come from counts of counts, order by order; grams that begin a
+text keep their counts on lower orders; the unigram level interpolates with a uniform distribution
+over the vocabulary and one unknown word. Scoring maps the arrays into memory, and looks up the sorted
+distinct grams of a chunk of text at once, in those buckets into which they fall.
 
 A task that is run again writes the same file again (a rename puts it in place). The shared folder
-must be one that workers can map: a file system path, as file: or no scheme. Elsewhere workers copy
-the arrays to their own disk first.
+must be one that workers can map: a file system path, as file: or no scheme; others raise.
 
 Rows: one for each row of docs; null and wordless texts are one end token. Repeated rows count as
 often as they stand there; null doc_ids count as the empty text where rows are split. If nothing is
@@ -25,20 +28,18 @@ ignored.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm.common import LOWER, SPACE_SEP, blocks, held_out, materialize, mix, shared_dir, word_hashes, word_spans
 
-MOD, CHUNK_WORDS, BUCKET_ENTRIES = 7, 2_000_000, 1_000_000
-END, START = np.uint64(0x5EED5EED5EED5EED), np.uint64(0x0BAD5EED0BAD5EED)
-_HIGH, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+MOD, ORDER, CHUNK_WORDS, BUCKET_CHARACTERS, PARTS = 7, 3, 2_000_000, 8_000_000, 4096
+END = np.uint64(0x5EED5EED5EED5EED)
+_HIGH = np.uint64(32)
 
 
 def tokens(texts: pa.Array):
@@ -52,13 +53,6 @@ def tokens(texts: pa.Array):
         yield out, bounds + np.arange(n + 1)
 
 
-def bigrams(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[bounds[:-1]] = START
-    return (before >> _HIGH) << _HIGH | words >> _HIGH
-
-
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as byte planes of their differences; the high planes are mostly 0 and compress away."""
     return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() if len(keys) else b""
@@ -94,19 +88,32 @@ def merge(keys: list[np.ndarray], *values: list[np.ndarray]) -> tuple[np.ndarray
     return key[first], *(np.add.reduceat(np.concatenate(v)[order], first) for v in values)
 
 
-def _rows(kind: int, keys: np.ndarray, values: list[np.ndarray], buckets: int):
-    """Rows (kind, bucket, keys, values) of sorted keys, by ranges of the mixed key."""
-    place = (mix(keys) >> _HIGH) * np.uint64(buckets) >> _HIGH
-    order = np.argsort(place, kind="stable")
-    cut = np.searchsorted(place[order], np.arange(buckets + 1).astype(np.uint64))
-    for b in range(buckets):
-        at = order[cut[b] : cut[b + 1]]
-        if len(at):
-            yield kind, b, pack_keys(keys[at]), b"".join(pack_counts(v[at]) for v in values)
+def tally(bucket: np.ndarray, key: np.ndarray, inverse: bool = False) -> tuple[np.ndarray, ...]:
+    """(buckets, keys, counts or each one's place) of the distinct pairs, sorted."""
+    span = int(key.max(initial=0)) + 1
+    if (int(bucket.max(initial=0)) + 1) * span <= 2**64:
+        found = np.unique(bucket.astype(np.uint64) * np.uint64(span % 2**64) + key, return_inverse=inverse, return_counts=not inverse)
+        parts = (np.zeros(len(found[0]), np.uint64), found[0]) if span == 2**64 else np.divmod(found[0], np.uint64(span))
+        return parts[0].astype(np.int64), parts[1], found[1]
+    order = np.lexsort((key, bucket))
+    new = np.append(True, (key[order][1:] != key[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))
+    first = np.flatnonzero(new)
+    back = np.empty(len(key), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return bucket[order][first], key[order][first], back if inverse else np.diff(np.append(first, len(key)))
+
+
+def _slices(bucket: np.ndarray):
+    """(bucket, slice) of sorted buckets, of those that are there."""
+    if not len(bucket):
+        return
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    for a, b in zip(cut.tolist(), np.append(cut[1:], len(bucket)).tolist(), strict=True):
+        yield int(bucket[a]), slice(a, b)
 
 
 _PACKED = "kind int, bucket int, keys binary, counts binary"
-WORD, BIGRAM, CONTEXT, CONTINUATION = range(4)
+GRAM, PREFIX, SUFFIX, SUMMARY = range(4)
 
 
 def _batch(rows: list) -> pa.RecordBatch:
@@ -114,132 +121,283 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "bucket", "keys", "counts"])
 
 
-def _count(buckets: int):
+def _rows(kind: int, bucket: np.ndarray, keys: np.ndarray, values: list[np.ndarray]):
+    """A row for each of the sorted buckets."""
+    for b, part in _slices(bucket):
+        yield _batch([(kind, b, pack_keys(keys[part]), b"".join(pack_counts(v[part]) for v in values))])
+
+
+def _local(folder: str) -> str:
+    if folder.startswith("file:"):
+        return "/" + folder[5:].lstrip("/")
+    if "://" in folder:
+        raise ValueError(f"workers cannot map files in {folder}; spark.checkpoint.dir must be a file system path")
+    return folder
+
+
+def _save(folder: str, name: str, array: np.ndarray) -> None:
+    """Puts an array into the folder; a later attempt replaces an earlier one whole."""
+    os.makedirs(folder, exist_ok=True)
+    temp = f"{folder}/.{name}.{uuid.uuid4().hex}.npy"
+    np.save(temp, array)
+    os.replace(temp, f"{folder}/{name}.npy")
+
+
+def _save_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    """A byte a count; those that need more stand apart with their places."""
+    far = np.flatnonzero(counts >= 255)
+    _save(folder, name, np.minimum(counts, 255).astype(np.uint8))
+    _save(folder, name + ".far", np.stack([far, counts[far]]).astype(np.int64))
+
+
+def place_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    """A word's bucket; it grows with the hash."""
+    return ((words >> _HIGH) * np.uint64(buckets) >> _HIGH).astype(np.int64)
+
+
+class Grams:
+    """How pairs of grams become buckets and keys; ids of the shorter grams are below size (prefixes at most size)."""
+
+    def __init__(self, size: int, buckets: int):
+        self.buckets, self.width = buckets, size // buckets + 1
+
+    def _turn(self, prefix: np.ndarray) -> np.ndarray:
+        return (mix(prefix.astype(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
+
+    def keys(self, prefix: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bucket = (self._turn(prefix) + suffix) % self.buckets
+        return bucket, prefix.astype(np.uint64) * np.uint64(self.width) + (suffix // self.buckets).astype(np.uint64)
+
+    def pair(self, bucket: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        prefix, part = (x.astype(np.int64) for x in np.divmod(key, np.uint64(self.width)))
+        return prefix, part * self.buckets + (bucket - self._turn(prefix)) % self.buckets
+
+
+class Model:
+    """The mapped arrays of a model as far as it is built; numbers grams and looks up what is known of them."""
+
+    def __init__(self, about: dict):
+        self.about, self.folder, self.maps = about, _local(about["folder"]), {}
+        self.offsets = [np.array(o) for o in about["offsets"]]  # by order: the first number of each bucket, and the end
+
+    def grams(self, level: int) -> Grams:
+        return Grams(int(self.offsets[level - 2][-1]), self.about["buckets"])
+
+    def array(self, name: str) -> np.ndarray:
+        if name not in self.maps:
+            self.maps[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
+        return self.maps[name]
+
+    def counts(self, name: str, at: np.ndarray) -> np.ndarray:
+        out = self.array(name)[at].astype(np.int64)
+        if len(much := np.flatnonzero(out == 255)):
+            far = self.array(name + ".far")
+            out[much] = far[1][np.searchsorted(far[0], at[much])]
+        return out
+
+    def find(self, level: int, bucket: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Numbers of sorted distinct keys, -1 of absent ones."""
+        out = np.full(len(keys), -1, np.int64)
+        offsets = self.offsets[level - 1]
+        for b, part in _slices(bucket):
+            if offsets[b] == offsets[b + 1]:
+                continue
+            stored = self.array(f"keys{level}-{b}")
+            at = np.minimum(np.searchsorted(stored, keys[part]), len(stored) - 1)
+            out[part] = np.where(stored[at] == keys[part], offsets[b] + at, -1)
+        return out
+
+    def values(self, level: int, ids: np.ndarray, columns: list[str]) -> list[np.ndarray]:
+        """What is stored of grams by number, 0 for -1; other numbers must ascend. The number after the last word's is the start mark's."""
+        out = [np.zeros(len(ids), np.int64) for _ in columns]
+        offsets = self.offsets[level - 1]
+        known = np.flatnonzero(ids >= 0)
+        for b, part in _slices(np.searchsorted(offsets, ids[known], "right") - 1):
+            at = ids[known[part]] - offsets[b]
+            for column, found in zip(columns, out, strict=True):
+                found[known[part]] = self.counts(f"{column}{level}-{b}", at)
+        return out
+
+    def number(self, words: np.ndarray, bounds: np.ndarray, upto: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By order: the numbers of the distinct grams (-1 of unknown ones and, last, of none), and for each token the place of the one that ends there."""
+        own, back = np.unique(words, return_inverse=True)
+        out = [(np.append(self.find(1, place_of(own, self.about["buckets"]), own), -1), back)]
+        for level in range(2, upto + 1):
+            prefix, suffix = self.ends(out[-1], bounds, level)
+            known = np.flatnonzero((prefix >= 0) & (suffix >= 0))
+            bucket, keys, places = tally(*self.grams(level).keys(prefix[known], suffix[known]), inverse=True)
+            back = np.full(len(words), -1, np.int64)
+            back[known] = places
+            out.append((np.append(self.find(level, bucket, keys), -1), back))
+        return out
+
+    def ends(self, shorter: tuple[np.ndarray, np.ndarray], bounds: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix and suffix of the grams of an order that end at each token, by number."""
+        suffix = shorter[0][shorter[1]]
+        prefix = np.empty_like(suffix)
+        prefix[1:] = suffix[:-1]
+        # The start mark stands before the first word; nothing stands before that.
+        prefix[bounds[:-1]] = self.offsets[0][-1] if level == 2 else -1
+        return prefix, suffix
+
+    def log10(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(model's log10 probability, training count) of each token."""
+        about = self.about
+        numbers = self.number(words, bounds, about["order"])
+        (ids, back) = numbers[0]
+        count, follows = (v[back] for v in self.values(1, ids, ["count", "value"]))
+        uniform, total = 1 / (about["vocabulary"] + 1), about["sums"][1]
+        if not total:
+            return np.full(len(words), np.log10(uniform)), count
+        d = np.array([0, *about["discounts"][1]])
+        p = (follows - d[np.minimum(follows, 3)]) / total + about["spare"] / total * uniform
+        names = ["total", "ones", "twos", "more"]
+        for level in range(2, about["order"] + 1):
+            (ids, back), (shorter, before) = numbers[level - 1], numbers[level - 2]
+            d = np.array([0, *about["discounts"][level]])
+            value = self.values(level, ids, ["value"])[0][back]
+            first = [v[0] for v in self.values(1, self.offsets[0][-1:], names)] if level == 2 else [0] * 4
+            stats = []
+            for column, start in zip(self.values(level - 1, shorter, names), first, strict=True):
+                own = np.empty(len(words), np.int64)
+                own[1:] = column[before[:-1]]
+                own[bounds[:-1]] = start
+                stats.append(own)
+            total, ones, twos, more = stats
+            there = np.maximum(total, 1)
+            p = np.where(total > 0, (value - d[np.minimum(value, 3)]) / there + (d[1] * ones + d[2] * twos + d[3] * more) / there * p, p)
+        return np.log10(p), count
+
+
+_MODELS: dict[tuple, Model] = {}
+
+
+def _model(about: dict) -> Model:
+    """A process keeps the newest model's maps."""
+    key = about["folder"], len(about["offsets"]), "spare" in about
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Model(about)
+    return _MODELS[key]
+
+
+def _count(about: dict, level: int):
+    """Packed counts of a chunk's grams of an order."""
+
     def run(batches):
-        words, pairs, held = [], [], 0
+        held: list[tuple] = []
 
         def flush():
-            for kind, parts in ((WORD, words), (BIGRAM, pairs)):
-                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                for row in _rows(kind, keys, [counts], buckets):
-                    yield _batch([row])
-            words.clear(), pairs.clear()
+            words = np.concatenate([w for w, _ in held])
+            starts = np.cumsum([0, *(len(w) for w, _ in held)])
+            bounds = np.concatenate([*(b[:-1] + s for (_, b), s in zip(held, starts[:-1], strict=True)), starts[-1:]])
+            held.clear()
+            if level == 1:
+                keys, counts = np.unique(words, return_counts=True)
+                bucket = place_of(keys, about["buckets"])
+            else:
+                model = _model(about)
+                prefix, suffix = model.ends(model.number(words, bounds, level - 1)[-1], bounds, level)
+                there = prefix >= 0
+                bucket, keys, counts = tally(*model.grams(level).keys(prefix[there], suffix[there]))
+            yield from _rows(GRAM, bucket, keys, [counts])
 
         for batch in batches:
-            for found, bounds in tokens(batch.column(0)):
-                words.append(found)
-                pairs.append(bigrams(found, bounds))
-                held += len(found)
-                if held >= CHUNK_WORDS:
+            for part in tokens(batch.column(0)):
+                held.append(part)
+                if sum(len(w) for w, _ in held) >= CHUNK_WORDS:
                     yield from flush()
-                    held = 0
-        if words:
+        if held:
             yield from flush()
 
     return run
 
 
-def _local(path: str) -> str | None:
-    """The path of a folder that can be mapped, or None."""
-    if path.startswith("file:"):
-        return "/" + path[5:].lstrip("/")
-    return path if "://" not in path else None
-
-
-def _write(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Puts arrays into the folder under name.column.npy; a later attempt replaces an earlier one whole."""
-    local = _local(folder)
-    for column, array in arrays.items():
-        if local is not None:
-            os.makedirs(local, exist_ok=True)
-            temp = f"{local}/.{name}.{column}.{uuid.uuid4().hex}.npy"
-            np.save(temp, array)
-            os.replace(temp, f"{local}/{name}.{column}.npy")
-        else:
-            system, root = pyarrow.fs.FileSystem.from_uri(folder)
-            system.create_dir(root, recursive=True)
-            sink = pa.BufferOutputStream()
-            np.save(sink, array)
-            with system.open_output_stream(f"{root}/{name}.{column}.npy") as out:
-                out.write(sink.getvalue())
-
-
-def _read(folder: str, name: str, column: str) -> np.ndarray:
-    """A read-only map of an array."""
-    local = _local(folder)
-    if local is None:
-        local = f"{tempfile.gettempdir()}/{folder.rsplit('/', 1)[-1]}"
-        if not os.path.exists(f"{local}/{name}.{column}.npy"):
-            os.makedirs(local, exist_ok=True)
-            system, root = pyarrow.fs.FileSystem.from_uri(folder)
-            temp = f"{local}/.{name}.{column}.{uuid.uuid4().hex}"
-            with system.open_input_stream(f"{root}/{name}.{column}.npy") as source, open(temp, "wb") as out:
-                out.write(source.read())
-            os.replace(temp, f"{local}/{name}.{column}.npy")
-    return np.load(f"{local}/{name}.{column}.npy", mmap_mode="r")
-
-
-def _counts_of_counts(counts: np.ndarray) -> list[int]:
-    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+def _groups(batches):
+    """Merges the consecutive rows of each bucket (rows come sorted by it): (bucket, {kind: (keys, value arrays)})."""
+    now, found = None, {}
 
+    def merged():
+        return now, {kind: merge(keys, *values) for kind, (keys, values) in found.items()}
 
-def _groups(batches):
-    """Merges the consecutive rows of each kind and bucket (rows come sorted by them): (kind, bucket, keys, value arrays)."""
-    now, keys, values = None, [], []
     for batch in batches:
         for row in range(batch.num_rows):
             kind, bucket, raw, counts = (c[row].as_py() for c in batch.columns)
-            if (kind, bucket) != now and keys:
-                yield *now, *merge(keys, *values)
-                keys, values = [], []
-            now = kind, bucket
-            key = unpack_keys(raw)
-            keys.append(key)
-            found = unpack_counts(counts, len(key))
-            values = values or [[] for _ in found]
-            for value, more in zip(values, found, strict=True):
-                value.append(more)
-    if keys:
-        yield *now, *merge(keys, *values)
+            if bucket != now and now is not None:
+                yield merged()
+                found = {}
+            now = bucket
+            if raw:
+                key = unpack_keys(raw)
+                values = unpack_counts(counts, len(key))
+                keys, sums = found.setdefault(kind, ([], [[] for _ in values]))
+                keys.append(key)
+                for value, more in zip(sums, values, strict=True):
+                    value.append(more)
+    if now is not None:
+        yield merged()
+
+
+def _tell(model: Model, level: int, bucket: int, keys: np.ndarray, values: np.ndarray):
+    """Rows of what grams of an order tell of their prefixes and suffixes, one word shorter, and of their own values."""
+    yield _batch([(SUMMARY, bucket, b"", np.array([len(keys), int(values.sum()), *((values == k).sum() for k in (1, 2, 3, 4))], "<i8").tobytes())])
+    if level == 1:
+        return
+    offsets = model.offsets[level - 2]
+    prefix, suffix = model.grams(level).pair(bucket, keys)
+    first = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])[: len(prefix)])
+    if not len(first):
+        return
+    stats = [np.add.reduceat(v.astype(np.int64), first) for v in (values, values == 1, values == 2, values >= 3)]
+    yield from _rows(PREFIX, np.searchsorted(offsets, prefix[first], "right") - 1, prefix[first].astype(np.uint64), stats)
+    suffix, types = np.unique(suffix, return_counts=True)
+    yield from _rows(SUFFIX, np.searchsorted(offsets, suffix, "right") - 1, suffix.astype(np.uint64), [types])
+
+
+def _store(about: dict, level: int):
+    """Stores each merged bucket of an order's grams. Those of the highest order tell of shorter ones at once."""
 
+    def run(batches):
+        model = _model(about)
+        for bucket, found in _groups(batches):
+            keys, counts = found.get(GRAM, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            _save(model.folder, f"keys{level}-{bucket}", keys)
+            _save_counts(model.folder, f"count{level}-{bucket}" if level < about["order"] else f"value{level}-{bucket}", counts)
+            if level == about["order"]:
+                yield from _tell(model, level, bucket, keys, counts)
+            else:
+                yield _batch([(SUMMARY, bucket, b"", np.array([len(keys), int(counts.sum())], "<i8").tobytes())])
 
-#: Columns that are stored for each kind of table.
-_TABLES = {WORD: ("words", ["counts"]), CONTEXT: ("contexts", ["counts", "ones", "twos", "more"]), CONTINUATION: ("next", ["counts"])}
+    return run
 
 
-def _finish(folder: str, buckets: int):
-    """Stores each merged bucket; a summary row (-1 - kind) of each, and of bigrams their context totals and continuation counts."""
+def _settle(about: dict, level: int):
+    """Stores by bucket what longer grams told of an order's grams; what that makes of these they tell of shorter ones."""
 
     def run(batches):
-        for kind, bucket, keys, *values in _groups(batches):
-            counts = values[0]
-            summary = np.array([len(keys), int(counts.sum()), *_counts_of_counts(counts)], "<i8").tobytes()
-            yield _batch([(-1 - kind, bucket, b"", summary)])
-            if kind != BIGRAM:
-                name, columns = _TABLES[kind]
-                _write(folder, f"{name}-{bucket}", keys=keys, **dict(zip(columns, values, strict=True)))
-                continue
-            many = counts > 1
-            _write(folder, f"pairs-{bucket}", once=keys[~many], keys=keys[many], counts=np.minimum(counts[many], 2**32 - 1).astype(np.uint32))
-            context, word = keys >> _HIGH, keys & _LOW
-            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-            stats = [np.add.reduceat(v.astype(np.int64), first) for v in (counts, counts == 1, counts == 2, counts >= 3)]
-            yield from (_batch([row]) for row in _rows(CONTEXT, context[first], stats, buckets))
-            words, types = np.unique(word, return_counts=True)
-            yield from (_batch([row]) for row in _rows(CONTINUATION, words, [types], buckets))
+        model, offsets = _model(about), about["offsets"][level - 1]
+        for bucket, found in _groups(batches):
+            begin = offsets[bucket]
+            n = offsets[bucket + 1] - begin if bucket + 1 < len(offsets) else 1  # the start mark is alone
+            for kind, columns in ((PREFIX, ["total", "ones", "twos", "more"]), (SUFFIX, ["value"])):
+                keys, *sums = found.get(kind, (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in columns)))
+                for column, own in zip(columns, sums, strict=True):
+                    dense = np.zeros(n, np.int64)
+                    dense[keys.astype(np.int64) - begin] = own
+                    if column == "value" and level > 1:
+                        # Grams that begin a text have nothing before them: their count stands.
+                        grams = np.asarray(model.array(f"keys{level}-{bucket}"))
+                        starts = np.flatnonzero(model.grams(level).pair(bucket, grams)[0] == model.offsets[0][-1])
+                        dense[starts] = model.counts(f"count{level}-{bucket}", starts)
+                    _save_counts(model.folder, f"{column}{level}-{bucket}", dense)
+            if level > 1:
+                yield from _tell(model, level, bucket, grams, dense)
+            else:
+                yield from _tell(model, level, bucket, dense[dense > 0], dense[dense > 0])
 
     return run
 
 
-def _sums(df: DataFrame) -> dict[int, tuple[list[int], list[int]]]:
-    """By kind: totals of its summary rows, and the buckets that sent one (a few numbers a bucket)."""
-    out: dict[int, tuple[list[int], list[int]]] = {k: ([0] * 6, []) for k in range(4)}
-    for kind, bucket, raw in df.where("kind < 0").select("kind", "bucket", "counts").collect():
-        total, seen = out[-1 - kind]
-        out[-1 - kind] = [a + b for a, b in zip(total, np.frombuffer(raw, "<i8").tolist(), strict=True)], sorted([*seen, bucket])
-    return out
-
-
 def discounts(n: list[int]) -> list[float]:
     """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, from counts of counts; kept in (0, count)."""
     n1, n2, n3, n4 = (max(1, x) for x in n)
@@ -248,93 +406,47 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]
 
 
-def train(docs: DataFrame, mod: int = MOD) -> dict:
+def train(docs: DataFrame, mod: int = MOD, order: int = ORDER) -> dict:
     """Counts the training rows of docs(doc_id, text) and writes the model; returns what scoring needs to find it."""
+    if order not in (2, 3):
+        raise ValueError("the order must be 2 or 3")
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/kneser-{uuid.uuid4().hex}"
     texts = docs.where(~held_out(F.col("doc_id"), mod)).select("text")
     size = docs.select(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(4, int(size / 8 / BUCKET_ENTRIES) + 1)
-
-    def finished(rows: DataFrame, name: str) -> DataFrame:
-        dealt = rows.repartition(2 * buckets, "kind", "bucket").sortWithinPartitions("kind", "bucket")
-        return materialize(dealt.mapInArrow(_finish(folder, buckets), _PACKED), name)
-
-    first = finished(texts.mapInArrow(_count(buckets), _PACKED), "bigrams")
-    found, more = _sums(first), _sums(finished(first.where("kind >= 0"), "contexts"))
-    (vocabulary, total, *_), words = found[WORD]
-    n_next, nexts = more[CONTINUATION]
-    return {
-        "folder": folder, "buckets": buckets, "tokens": total, "vocabulary": vocabulary, "words": words, "pairs": found[BIGRAM][1], "next": nexts, "contexts": more[CONTEXT][1],
-        "continuations": n_next[:2], "d1": discounts(n_next[2:]), "d2": discounts(found[BIGRAM][0][2:]), "next_ones": n_next[2:],
-    }
-
-
-class Model:
-    """The mapped arrays of a model; looks up sorted keys bucket by bucket."""
-
-    def __init__(self, about: dict):
-        self.about, self.maps = about, {}
-
-    def _column(self, name: str, bucket: int, column: str) -> np.ndarray:
-        key = (name, bucket, column)
-        if key not in self.maps:
-            self.maps[key] = _read(self.about["folder"], f"{name}-{bucket}", column)
-        return self.maps[key]
-
-    def find(self, name: str, keys: np.ndarray, columns: list[str], key_column: str = "keys") -> list[np.ndarray]:
-        """The columns' values at sorted distinct keys, 0 where a key is absent; the column "" tells presence."""
-        out = [np.zeros(len(keys), np.int64) for _ in columns]
-        place = ((mix(keys) >> _HIGH) * np.uint64(self.about["buckets"]) >> _HIGH).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        cut = np.searchsorted(place[order], np.arange(self.about["buckets"] + 1))
-        for bucket in self.about[name]:
-            own = order[cut[bucket] : cut[bucket + 1]]
-            stored = self._column(name, bucket, key_column)
-            if not len(own) or not len(stored):
-                continue
-            at = np.minimum(np.searchsorted(stored, keys[own]), len(stored) - 1)
-            there = stored[at] == keys[own]
-            for k, column in enumerate(columns):
-                out[k][own[there]] = 1 if column == "" else self._column(name, bucket, column)[at[there]]
-        return out
-
-    def unigram(self, nexts: np.ndarray) -> np.ndarray:
-        """Probability of a word by the number of words it follows: the lowest order, over vocabulary and one unknown."""
-        types, total = self.about["continuations"]
-        uniform = 1 / (self.about["vocabulary"] + 1)
-        if not total:
-            return np.full(len(nexts), uniform)
-        d = np.array([0, *self.about["d1"]])
-        ones, twos = self.about["next_ones"][:2]
-        spare = (d[1] * ones + d[2] * twos + d[3] * (types - ones - twos)) / total
-        return (nexts - d[np.minimum(nexts, 3)]) / total + spare * uniform
-
-    def log10(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(model's log10 probability, training count) of each token."""
-        keys, back = np.unique(bigrams(words, bounds), return_inverse=True)
-        many, = self.find("pairs", keys, ["counts"])
-        once, = self.find("pairs", keys, [""], "once")
-        pair = many + once
-        contexts, c_back = np.unique(keys >> _HIGH, return_inverse=True)
-        total, ones, twos, more = (v[c_back] for v in self.find("contexts", contexts, ["counts", "ones", "twos", "more"]))
-        nexts, n_back = np.unique(keys & _LOW, return_inverse=True)
-        low = self.unigram(self.find("next", nexts, ["counts"])[0])[n_back]
-        d = np.array([0, *self.about["d2"]])
-        known = np.maximum(total, 1)
-        p = np.where(total > 0, (pair - d[np.minimum(pair, 3)]) / known + (d[1] * ones + d[2] * twos + d[3] * more) / known * low, low)
-        own, w_back = np.unique(words, return_inverse=True)
-        return np.log10(p)[back], self.find("words", own, ["counts"])[0][w_back]
-
-
-_MODELS: dict[str, Model] = {}
+    about: dict = {"folder": f"{shared_dir(spark)}/kneser-{uuid.uuid4().hex}", "buckets": max(4, size // BUCKET_CHARACTERS + 1), "order": order, "offsets": [], "sums": {}, "discounts": {}}
+    _local(about["folder"])
+
+    def dealt(rows: DataFrame, step, name: str) -> tuple[DataFrame, list[list[int]]]:
+        """A step by bucket, every bucket at least with a row without keys; and the summary numbers by bucket (a few each)."""
+        buckets = about["buckets"]
+        every = spark.range(buckets + 1).select(F.lit(GRAM).alias("kind"), F.col("id").cast("int").alias("bucket"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
+        sorted_rows = rows.where("kind <> 3").union(every).repartition(min(buckets + 1, PARTS), "bucket").sortWithinPartitions("bucket", "kind")
+        out = materialize(sorted_rows.mapInArrow(step, _PACKED), name)
+        numbers = [[0] * 6 for _ in range(buckets + 1)]
+        for bucket, raw in out.where("kind = 3").select("bucket", "counts").toLocalIterator():
+            numbers[bucket] = np.frombuffer(raw, "<i8").tolist()
+        return out, numbers
+
+    for level in range(1, order + 1):
+        rows, numbers = dealt(texts.mapInArrow(_count(dict(about), level), _PACKED), _store(dict(about), level), "grams")
+        about["offsets"].append([0, *np.cumsum([n[0] for n in numbers[:-1]]).tolist()])
+        if level == 1:
+            about["vocabulary"], about["tokens"] = about["offsets"][0][-1], sum(n[1] for n in numbers)
+    for level in range(order, 0, -1):
+        types, total, ones, twos, *more = np.sum(numbers, 0).tolist()
+        about["sums"][level], about["discounts"][level] = total, discounts([ones, twos, *more])
+        if level > 1:
+            rows, numbers = dealt(rows, _settle(dict(about), level - 1), "told")
+    d = about["discounts"][1]
+    about["spare"] = d[0] * ones + d[1] * twos + d[2] * (types - ones - twos)
+    return about
 
 
 def score(docs: DataFrame, about: dict, mod: int = MOD) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs."""
 
     def run(batches):
-        model = _MODELS.setdefault(about["folder"], Model(about))
+        model = _model(about)
         n, v = about["tokens"], about["vocabulary"]
         for batch in batches:
             at = 0
@@ -353,5 +465,5 @@ def score(docs: DataFrame, about: dict, mod: int = MOD) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_corpus(docs: DataFrame, mod: int = MOD) -> DataFrame:
-    return score(docs, train(docs, mod), mod)
+def score_corpus(docs: DataFrame, mod: int = MOD, order: int = ORDER) -> DataFrame:
+    return score(docs, train(docs, mod, order), mod)
