@@ -110,7 +110,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def blocks(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def blocks(array: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cuts a string or binary array into (first row, bytes, offsets) of bounded size; null is empty."""
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
@@ -123,7 +123,7 @@ def blocks(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(array.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(array):
-        to = int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1
+        to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
         to = min(len(array), max(at + 1, to))
         yield at, data[offsets[at] : offsets[to]], (offsets[at : to + 1] - offsets[at]).astype(np.int64)
         at = to

@@ -38,13 +38,14 @@ from pyspark.sql import functions as F
 from vertexloom.llm.common import LOWER, SPACE_SEP, blocks, held_out, materialize, mix, shared_dir, word_hashes, word_spans
 
 MOD, ORDER, CHUNK_WORDS, BUCKET_CHARACTERS, PARTS = 7, 3, 2_000_000, 8_000_000, 4096
+SCORED_BYTES = 6_000_000  # of text that meet the arrays at once
 END = np.uint64(0x5EED5EED5EED5EED)
 _HIGH = np.uint64(32)
 
 
 def tokens(texts: pa.Array):
     """(hashes, bounds) of the tokens of each block of texts, the end token of each included."""
-    for _, data, offsets in blocks(texts):
+    for _, data, offsets in blocks(texts, SCORED_BYTES):
         data = LOWER[data]
         starts, ends, bounds = word_spans(data, offsets, SPACE_SEP)
         n = len(offsets) - 1
@@ -255,17 +256,18 @@ class Model:
         for level in range(2, about["order"] + 1):
             (ids, back), (shorter, before) = numbers[level - 1], numbers[level - 2]
             d = np.array([0, *about["discounts"][level]])
-            value = self.values(level, ids, ["value"])[0][back]
+            value = self.values(level, ids, ["value"])[0]
             first = [v[0] for v in self.values(1, self.offsets[0][-1:], names)] if level == 2 else [0] * 4
-            stats = []
-            for column, start in zip(self.values(level - 1, shorter, names), first, strict=True):
-                own = np.empty(len(words), np.int64)
-                own[1:] = column[before[:-1]]
-                own[bounds[:-1]] = start
-                stats.append(own)
-            total, ones, twos, more = stats
+            # By prefix: 1 / total, and what the discounts leave to the lower order (all of it for an unknown prefix).
+            total, ones, twos, more = (np.append(v, x) for v, x in zip(self.values(level - 1, shorter, names), first, strict=True))
             there = np.maximum(total, 1)
-            p = np.where(total > 0, (value - d[np.minimum(value, 3)]) / there + (d[1] * ones + d[2] * twos + d[3] * more) / there * p, p)
+            share, spare = (total > 0) / there, np.where(total > 0, (d[1] * ones + d[2] * twos + d[3] * more) / there, 1.0)
+            place = np.empty(len(words), np.int64)
+            place[1:] = before[:-1]
+            place[place == -1] = len(shorter) - 1
+            place[bounds[:-1]] = len(shorter)
+            p *= spare[place]
+            p += share[place] * (value - d[np.minimum(value, 3)])[back]
         return np.log10(p), count
 
 
