@@ -18,11 +18,6 @@ def number(text: Column) -> Column:
     return text.try_cast("double")
 
 
-def edge_key(src: Column, dst: Column) -> Column:
-    """src in the upper and dst in the lower 32 bits of a long."""
-    return F.shiftleft(src.cast("long"), 32).bitwiseOR(dst.cast("long"))
-
-
 def within(found: Column, wanted: Column, tolerance: float = 1e-4) -> Column:
     """Whether found is wanted up to a relative tolerance."""
     return (found == wanted) | (F.abs(found - wanted) <= tolerance * wanted)

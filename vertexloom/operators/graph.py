@@ -40,6 +40,11 @@ class Graph:
     vertices: DataFrame
     edges: DataFrame
     directed: bool = True
+    settled: bool = False
+
+    def settle(self) -> Graph:
+        """The same graph as tables in the shared folder, written once: iterations read it many times."""
+        return self if self.settled else replace(self, vertices=settle(self.vertices, "vertices"), edges=settle(self.edges, "edges"), settled=True)
 
     @classmethod
     def from_edges(cls, edges: DataFrame, vertices: DataFrame | None = None, directed: bool = True) -> Graph:
@@ -77,7 +82,7 @@ class Graph:
         return self.edges.unionByName(self.in_edges()) if self.directed else self.edges
 
     def with_edges(self, edges: DataFrame) -> Graph:
-        return replace(self, edges=edges)
+        return replace(self, edges=edges, settled=False)
 
     def clear(self) -> Graph:
         """No edges; vertices stay."""
@@ -157,11 +162,6 @@ def csr_offsets(graph: Graph, direction: str = "out") -> DataFrame:
     return ends.select("vid", (F.col("end") - F.col("degree")).alias("start"), "end")
 
 
-def layout(graph: Graph) -> DataFrame:
-    """The edge table dealt and sorted by src, as algorithms that walk out-edges read it."""
-    return graph.edges.repartition("src").sortWithinPartitions("src", "dst")
-
-
 def packed_keys(edges: DataFrame) -> DataFrame:
     """(key, weight): src in the upper and dst in the lower 32 bits."""
     return edges.select(F.shiftleft("src", 32).bitwiseOR(F.col("dst")).alias("key"), "weight")

@@ -15,7 +15,7 @@ def add_vertices(graph: Graph, names: DataFrame) -> Graph:
     order = "ord" if "ord" in names.columns else "name"
     new = names.groupBy("name").agg(F.min(order).alias("at")).join(graph.vertices, "name", "left_anti")
     first = graph.vertices.agg(F.coalesce(F.max("vid") + 1, F.lit(0))).first()[0]
-    return replace(graph, vertices=graph.vertices.unionByName(numbered(new, ["at"], first)))
+    return replace(graph, vertices=graph.vertices.unionByName(numbered(new, ["at"], first)), settled=False)
 
 
 def remove_incident_edges(graph: Graph, vids: DataFrame) -> Graph:

@@ -32,7 +32,7 @@ def _start(name: str, more: str = "") -> str:
 
 
 def _of(name: str, op: Callable[[g.Graph], DataFrame], directed: bool = True):
-    return lambda spark, sf_dir: op(derived.load(spark, sf_dir, name, directed))
+    return lambda spark, sf_dir: op(derived.load(spark, sf_dir, name, directed).settle())
 
 
 def _plain(name: str, graph: str, op: Callable[[g.Graph], DataFrame], select: str, directed: bool = True, more: str = "") -> None:

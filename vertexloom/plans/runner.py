@@ -33,8 +33,7 @@ def solve(graph: Graph, algorithm: str, config: GraphConfig) -> DataFrame:
 def run(spark: SparkSession, base: str, report: str | None = None) -> list[tuple[str, str]]:
     """(algorithm, seconds | wrong | failed! | N/A) in the usual order; the time excludes loading and includes the names."""
     config = read_config(spark, base)
-    graph = read_graph(spark, base, config)
-    graph.vertices.count(), graph.edges.count()
+    graph = read_graph(spark, base, config).settle()
     rows = []
     for algorithm in ALGORITHMS:
         if algorithm not in config.algorithms:
