@@ -162,6 +162,14 @@ def csr_offsets(graph: Graph, direction: str = "out") -> DataFrame:
     return ends.select("vid", (F.col("end") - F.col("degree")).alias("start"), "end")
 
 
+def csr_columns(graph: Graph, direction: str = "out") -> DataFrame:
+    """(position, vid, neighbour, weight): the rows that csr_offsets counts, sorted by vertex and neighbour; "all" holds in- and out-neighbours."""
+    edges = {"out": graph.out_edges, "in": graph.in_edges, "all": lambda: graph.edges.unionByName(graph.in_edges())}[direction]()
+    nth = F.row_number().over(Window.partitionBy("vid").orderBy("neighbour", "weight")) - 1
+    rows = edges.select(F.col("src").alias("vid"), F.col("dst").alias("neighbour"), "weight").withColumn("nth", nth)
+    return rows.join(csr_offsets(graph, direction), "vid").select((F.col("start") + F.col("nth")).alias("position"), "vid", "neighbour", "weight")
+
+
 def packed_keys(edges: DataFrame) -> DataFrame:
     """(key, weight): src in the upper and dst in the lower 32 bits."""
     return edges.select(F.shiftleft("src", 32).bitwiseOR(F.col("dst")).alias("key"), "weight")

@@ -95,6 +95,6 @@ def path_query(graph: Graph, preds: DataFrame, source: int, target: int) -> Data
         further = jumps.select(F.col("vid").alias("pred"), F.col("pred").alias("far"))
         jumps, span, seen = rounds.keep(jumps.join(further, "pred").select("vid", F.col("far").alias("pred"))), 2 * span, after
     # Where the walk stops at another vertex than source, there is no path from source.
-    reached = way.where(F.col("vid") == source).agg(F.min("back").alias("length")).where("length > 0")
-    hops = way.join(edges, "vid").join(F.broadcast(reached)).where("back < length")
-    return rounds.end(hops.select((F.col("length") - F.col("back")).cast("int").alias("hop"), F.col("pred").alias("from_vid"), F.col("vid").alias("to_vid")))
+    length = way.where((F.col("vid") == source) & (F.col("back") > 0)).agg(F.coalesce(F.min("back"), F.lit(0))).first()[0]  # one number
+    hops = way.join(edges, "vid").where(F.col("back") < length)
+    return rounds.end(hops.select((F.lit(length) - F.col("back")).cast("int").alias("hop"), F.col("pred").alias("from_vid"), F.col("vid").alias("to_vid")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions.text import parse_string
 from vertexloom.operators import analytics, check, graph as g, mutate, traverse
+from vertexloom.operators.rounds import shared_folder
 from vertexloom.sources import derived, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,27 +208,141 @@ QUERIES["cdlp_undirected"] = _of("geo", analytics.cdlp, False)
 ORACLES["cdlp_undirected"] = _start("geo", _cdlp_sql(around="select src, dst from e union select dst, src from e")) + "select vid, label from h"
 
 
-# Checkers, on results against themselves with some rows changed.
-def _golden(df: DataFrame, value: str, broken: str | None = None) -> DataFrame:
-    text = F.col(value).cast("string")
-    return df.select("name", (F.when(F.expr("cast(name as long) % 50 = 0"), F.lit(broken)).otherwise(text) if broken else text).alias("value"))
+# Checkers: results of the geo graph against goldens that plain SQL over its tables gives, some of them wrong on purpose.
+_GEO = """with w as (select 2000000 + n_nationkey nation, 3000000 + n_regionkey region from nation),
+p as (select c_custkey vid, 2000000 + c_nationkey nation from customer union all select 1000000 + s_suppkey, 2000000 + s_nationkey from supplier
+  union all select nation, nation from w),
+a as (select vid, p.nation, region from p join w on p.nation = w.nation union all select region, null, region from (select distinct region from w) r),
+f as (select vid, nation, region from a where vid = (select min(vid) from a)),
+g as (select cast(vid as varchar(20)) name, vid, region, vid % 50 = 0 bad,
+  case vid when (select min(vid) from f) then 0 when (select min(nation) from f) then 1 when (select min(region) from f) then 2 end depth from a)
+"""
+_FAR = "9223372036854775807"
+
+
+def _against(select: str, checker, run):
+    def op(spark: SparkSession, sf_dir: str) -> DataFrame:
+        graph = derived.load(spark, sf_dir, "geo").settle()
+        return checker(g.named(graph, run(graph)), spark.sql(_GEO + select))
+
+    return op
 
 
-def _checked(run, value: str, broken: str, checker) -> Callable[[g.Graph], DataFrame]:
-    def op(x: g.Graph) -> DataFrame:
-        result = g.named(x, run(x))
-        good, bad = checker(result, _golden(result, value)), checker(result, _golden(result, value, broken))
-        return x.vertices.sparkSession.createDataFrame([(good, bad > 0)], "mismatches long, broken_found boolean")
+for _name, _run, _checker, _select, _wrong in (
+    ("check_bfs", lambda x: traverse.bfs(x, _first(x)).select("vid", "depth"), check.bfs_mismatches,
+     f"select name, case when bad then '77' else coalesce(cast(depth as varchar(20)), '{_FAR}') end value from g", "select name, cast(coalesce(depth, 2147483647) as varchar) found, '77' wanted from g where bad"),
+    ("check_sssp", lambda x: traverse.sssp(x, _first(x)).select("vid", "dist"), check.sssp_mismatches,
+     "select name, case when bad then '-1' else coalesce(cast(depth as varchar(20)), 'inf') end value from g",
+     "select name, case when depth is null then '1.7976931348623157E308' else depth || '.0' end found, '-1.0' wanted from g where bad"),
+    ("check_wcc", analytics.wcc, check.wcc_mismatches,
+     "select name, case when bad then 'x' else cast(region as varchar(20)) end value from g",
+     "select distinct cast(null as varchar) name, cast(first_id as varchar) found, case when bad then 'x' else cast(region as varchar) end wanted from g join (select region, min(vid) first_id from g group by region) using (region)"),
+):
+    QUERIES[_name], ORACLES[_name] = _against(_select, _checker, _run), _GEO + _wrong
+
+#: A small graph's edges, and its ranks and communities after 10 rounds, three of them wrong.
+_TOY = "Andy Bob,Bob Tom,Bob Sam,Andy Sam,Bob Bob,Andy Leo,Leo Sam,Sam Leo"
+_TOY_RANKS = {"Andy": "0.038866419", "Bob": "0.069738565", "Tom": "0.5", "Sam": "0.400336626", "Kevin": "0.1", "Leo": "0.393489071"}
+_TOY_LABELS = {"Andy": "Bob", "Bob": "Bob", "Tom": "Tom", "Sam": "Bob", "Kevin": "Kevin", "Leo": "Bob"}
+
+
+def _toy(checker, run, golden: dict[str, str]):
+    def op(spark: SparkSession, sf_dir: str) -> DataFrame:
+        edges = spark.createDataFrame([(*e.split(), 1.0, k) for k, e in enumerate(_TOY.split(","))], "src string, dst string, weight double, ord long")
+        graph = g.Graph.from_names(edges, spark.createDataFrame([(n, k) for k, n in enumerate(_TOY_RANKS)], "name string, ord long")).settle()
+        return checker(run(graph), spark.createDataFrame(list(golden.items()), "name string, value string")).select("name", F.substring("found", 1, 6).alias("found"), "wanted")
 
     return op
 
 
-for _name, _run, _value, _broken, _checker in (
-    ("bfs", lambda x: traverse.bfs(x, _first(x)).select("vid", "depth"), "depth", "77", check.check_bfs),
-    ("sssp", lambda x: traverse.sssp(x, _first(x)).select("vid", "dist"), "dist", "-1", check.check_sssp),
-    ("wcc", analytics.wcc, "component", "x", check.check_wcc),
-    ("pr", analytics.pagerank, "rank", "2", check.check_pagerank),
-    ("cdlp", lambda x: analytics.cdlp(x).select("vid", F.col("label").cast("string").alias("label")), "label", "x", check.check_cdlp),
-):
-    QUERIES["check_" + _name] = _of("geo", _checked(_run, _value, _broken, _checker))
-    ORACLES["check_" + _name] = "select cast(0 as bigint) mismatches, true broken_found"
+QUERIES["check_pr"] = _toy(check.pagerank_mismatches, lambda x: g.named(x, analytics.pagerank(x)), _TOY_RANKS)
+ORACLES["check_pr"] = "select * from (values ('Tom', '0.0587', '0.5'), ('Kevin', '0.0388', '0.1')) t(name, found, wanted)"
+QUERIES["check_cdlp"] = _toy(check.cdlp_mismatches, lambda x: g.named(x, analytics.cdlp(x), "label"), _TOY_LABELS)
+ORACLES["check_cdlp"] = "select * from (values ('Tom', 'Bob', 'Tom')) t(name, found, wanted)"
+
+
+def _steps(sql: str) -> str:
+    """What follows the vertices in a query's SQL."""
+    return sql.split("union select dst from e)", 1)[1]
+
+
+# Names, files, the three directions of offsets and columns.
+_plain("result_to_names", "geo", lambda x: g.named(x, analytics.wcc(x), "component"), "select cast(vid as varchar) name, cast(component as varchar) component from h", more=_steps(_wcc_sql("geo")))
+_csr = {"out": "select src vid, dst neighbour, weight from e", "in": "select dst vid, src neighbour, weight from e", "all": "select src vid, dst neighbour, weight from e union all select dst, src, weight from e"}
+for _name, _rows_sql in _csr.items():
+    _plain(f"csr_columns_{_name}", "flow", lambda x, d=_name: g.csr_columns(x, d), f"select row_number() over (order by vid, neighbour, weight) - 1 \"position\", vid, neighbour, weight from ({_rows_sql})")
+    _plain(
+        f"csr_offsets_{_name}", "geo", lambda x, d=_name: g.csr_offsets(x, d),
+        f"select vid, cast(sum(n) over (order by vid) - n as bigint) \"start\", cast(sum(n) over (order by vid) as bigint) \"end\" from (select v.vid, count(r.vid) n from v left join ({_rows_sql}) r on r.vid = v.vid group by v.vid)",
+    )
+
+
+def _edges_by_name(x: g.Graph) -> DataFrame:
+    ends = [x.vertices.select(F.col("vid").alias(c), F.col("name").alias(n)) for c, n in (("src", "from_name"), ("dst", "to_name"))]
+    return x.edges.join(ends[0], "src").join(ends[1], "dst").select("from_name", "to_name", "weight")
+
+
+def _new_names(x: g.Graph) -> DataFrame:
+    return x.edges.where("src % 5 = 0").select(F.concat(F.lit("n"), "dst").alias("src"), F.col("src").cast("string").alias("dst"), "weight", (F.col("src") * 100000 + F.col("dst")).alias("ord"))
+
+
+_plain(
+    "add_edges_by_name", "flow", lambda x: _edges_by_name(mutate.add_named_edges(x, _new_names(x)).settle()),
+    "select cast(src as varchar) from_name, cast(dst as varchar) to_name, weight from e union all select 'n' || dst, cast(src as varchar), weight from e where src % 5 = 0",
+)
+_plain(
+    "remove_edges_by_name", "flow",
+    lambda x: mutate.remove_named_edges(x, x.edges.where("src % 5 = 0").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).union(x.edges.select(F.lit("nobody"), F.col("dst").cast("string")))).edges,
+    "select src, dst, weight from e where src % 5 <> 0",
+)
+
+
+@_add(
+    "names_to_ids",
+    """select row_number() over (order by place) - 1 vid, name from (select name, min(place) place from (
+  select n_name name, [0, n_nationkey, 0] place from nation where n_nationkey % 2 = 0
+  union all select n_name, [1, c_custkey, 0] from customer join nation on n_nationkey = c_nationkey union all select 'c' || c_custkey, [1, c_custkey, 1] from customer) group by name)""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "customer"))
+    edges = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"), F.lit(1.0).alias("weight"), F.col("c_custkey").alias("ord"))
+    return g.Graph.from_names(edges, nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("ord"))).vertices
+
+
+def _as_file(spark: SparkSession, lines: DataFrame, end: str) -> str:
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    lines.write.text(path + end)
+    return path
+
+
+@_add("golden_scan", "select split_part(n_name, ' ', 1) name, case when strpos(n_name, ' ') = 0 then cast(n_nationkey as varchar) end \"value\" from nation")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat_ws(" ", "n_name", "n_nationkey"))
+    return files.read_golden(spark, _as_file(spark, lines, "-WCC"), "wcc")
+
+
+@_add("update_file_scan", "select cast(c_custkey as varchar) src, cast(c_nationkey as varchar) dst from customer where c_custkey % 3 <> 0")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    lines = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.when(c % 3 == 0, c.cast("string")).otherwise(F.concat(F.lit(" a  "), c, F.lit(" "), "c_nationkey")))
+    return files.update_lines(files.read_lines(spark, _as_file(spark, lines, "-add-edge.txt") + "-add-edge.txt")).select("src", "dst")
+
+
+# Algorithms on a graph that was changed, and in the other direction.
+for _name, _run, _select in (
+    ("bfs", lambda x: traverse.bfs(x, _first(x)).select("vid", "depth"), _steps(_bfs_sql("flow")).replace(" join e on", " join u e on") + "select vid, cast(coalesce(depth, 2147483647) as integer) depth from v left join h using (vid)"),
+    ("sssp", lambda x: traverse.sssp(x, _first(x)).select("vid", "dist"), _steps(_sssp_sql("flow")).replace(" join e on", " join u e on") + f"select vid, coalesce(dist, {_MAX}) dist from v left join h using (vid)"),
+    ("wcc", analytics.wcc, _steps(_wcc_sql("flow")).replace("from e", "from u") + "select vid, component from h"),
+    ("cdlp", analytics.cdlp, _cdlp_sql(around="select src, dst from u union all select dst, src from u") + "select vid, label from h"),
+):
+    _plain(f"{_name}_after_update", "flow", lambda x, run=_run: run(mutate.batch_update(x, _batch(x))), _select, more=_updated)
+_plain(
+    "bfs_reversed", "geo", lambda x: traverse.bfs(x.with_edges(x.in_edges()), x.vertices.agg(F.max("vid")).first()[0]).select("vid", "depth"),
+    "select vid, cast(coalesce(depth, 2147483647) as integer) depth from v left join (select vid, min(depth) depth from b group by vid) using (vid)",
+    more=", b(vid, depth) as (select max(vid), 0 from v union select e.src, depth + 1 from b join e on e.dst = b.vid where depth < 6)",
+)
+_both_ways = ", s as materialized (select src, dst, min(weight) weight from (select src, dst, weight from e union all select dst, src, weight from e) group by src, dst)"
+_plain(
+    "sssp_undirected", "trade", lambda x: traverse.sssp(x, _first(x)).select("vid", F.round("dist", 6).alias("dist")), f"select vid, round(coalesce(dist, {_MAX}), 6) dist from v left join h using (vid)",
+    directed=False, more=_both_ways + _steps(_sssp_sql("trade", rounds=14)).replace(" join e on", " join s e on"),
+)

@@ -24,6 +24,7 @@ class GraphConfig:
     edges: str | None = None
     directed: bool = True
     weighted: bool = False
+    sssp_weighted: bool = True  # recorded; the weights of the edge file apply either way
     algorithms: tuple[str, ...] = ()
     bfs_source: str | None = None
     sssp_source: str | None = None
@@ -35,7 +36,8 @@ class GraphConfig:
 
 _KEYS = {
     "vertex-file": ("vertex_file", str), "edge-file": ("edge_file", str), "vertices": ("vertices", str), "edges": ("edges", str), "directed": ("directed", lambda v: v != "false"),
-    "names": ("weighted", lambda v: v == "weight"), "algorithms": ("algorithms", lambda v: tuple(a for a in v.split(", ") if a in ALGORITHMS)),
+    "names": ("weighted", lambda v: v == "weight"), "weight-property": ("sssp_weighted", lambda v: v == "weight"), "sssp-weight-property": ("sssp_weighted", lambda v: v == "weight"),
+    "algorithms": ("algorithms", lambda v: tuple(a for a in v.split(", ") if a in ALGORITHMS)),
     "cdlp-max-iterations": ("cdlp_iterations", int), "max-iterations": ("cdlp_iterations", int), "pr-damping-factor": ("damping", float), "damping-factor": ("damping", float),
     "pr-num-iterations": ("pagerank_iterations", int), "num-iterations": ("pagerank_iterations", int),
 }
