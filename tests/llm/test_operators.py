@@ -202,6 +202,32 @@ def test_passages_of_near_copies(spark):
         assert sum(x // 1000 == k for x in found) >= 0.95 * sum(x // 1000 == k for x in later)
 
 
+def plain_repeat(x, y, length=46, percent=75):
+    """Whether some passage of x is similar enough to some passage of y, from the definition: sets of shingles of all pairs of ranges."""
+    for i in range(len(x) - length + 1):
+        own = set(x[i : i + length])
+        places = [k for k, w in enumerate(y) if w in own]
+        for a in range(len(places)):
+            for b in range(a, len(places)):
+                if places[b] - places[a] >= 2 * length:
+                    break
+                other = set(y[places[a] : places[b] + 1])
+                if 100 * len(own & other) >= percent * len(own | other):
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("insert", [False, True])
+def test_verified_near_copies_by_definition(spark, insert):
+    texts = near_copies(16, 9, np.random.default_rng(17 + insert), insert)
+    shingles = {i: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] for i, w in ((i, t.split()) for i, t in texts)}
+    want = {(a, b) for a in shingles for b in shingles if b < a and plain_repeat(shingles[a], shingles[b])}
+    got = {(r.doc_id, r.match_doc_id) for r in passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got <= want, sorted(got - want)
+    later, found = {a for a, _ in want}, {a for a, _ in got}
+    assert len(found) >= 0.95 * len(later), sorted(later - found)
+
+
 def test_groups_by_gaps_find_what_pairs_find():
     rng = np.random.default_rng(3)
     base = rng.integers(1, 256, 2 * passages.LENGTH - 1).astype(np.uint8)
