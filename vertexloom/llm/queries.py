@@ -46,6 +46,25 @@ select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint
 from d left join hit using (r) left join items using (r)
 """
 
+
+_SPACED = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+OP4_SQL = f"""
+with recursive d as materialized (select doc_id, {_SPACED.format("coalesce(text, '')")} w from documents),
+s as materialized (
+  select distinct doc_id, array_to_string(w[k : k + least(len(w), 5) - 1], ' ') g
+  from (select *, unnest(range(1, len(w) - least(len(w), 5) + 2)) k from d where len(w) > 0)),
+n as materialized (select doc_id, count(*) n from s group by doc_id),
+c as (select x.doc_id a, y.doc_id b, count(*) both_have from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by x.doc_id, y.doc_id),
+l as materialized (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both_have >= 75 * (x.n + y.n - both_have)),
+e as materialized (select a, b from l union select b, a from l),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on e.a = r.b),
+m as (select a doc_id, least(a, min(b)) low from r group by a)
+select doc_id, coalesce(n, 0) n_shingles, coalesce(low, doc_id) component_id, coalesce(low, doc_id) = doc_id kept
+from d left join n using (doc_id) left join m using (doc_id)
+"""
+
+
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -99,4 +118,4 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_topk": op10_topk,
 }
-ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op9_licenses": licenses.oracle(_WORDS.format("coalesce(text, '')")), "op10_topk": OP10_SQL}
+ORACLES: dict[str, str] = {"op4_minhash": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_licenses": licenses.oracle(_WORDS.format("coalesce(text, '')")), "op10_topk": OP10_SQL}
