@@ -37,9 +37,11 @@ ALNUM_SEP[0x00:0x30] = ALNUM_SEP[0x3A:0x61] = ALNUM_SEP[0x7B:0x80] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and all is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vertexloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
