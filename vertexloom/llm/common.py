@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2_000_000
 BROADCAST_BYTES = 16_000_000
+HOT_SHARE, HOT_ROWS = 512, 10_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -91,6 +92,28 @@ def broadcast_if_light(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_
     return F.broadcast(df) if (df.agg(F.sum(row_bytes + 32)).first()[0] or 0) <= limit else df
 
 
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The keys that hold more than one in `HOT_SHARE` of the rows each, fewer than `HOT_SHARE` of them; small tables have none."""
+    total = rows.count()
+    if total < HOT_ROWS:
+        return []
+    return [r[0] for r in rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") * HOT_SHARE > total).collect()]
+
+
+def spread_join(rows: DataFrame, other: DataFrame, key: str, hot: list, how: str = "inner", other_bytes: Column | None = None) -> DataFrame:
+    """rows joined (inner or left) with other, whose keys are distinct; rows of hot keys are not brought together.
+
+    They meet a broadcast of other's rows, fewer than `HOT_SHARE` of fixed size, or of other_bytes each, which
+    then decide whether there is a broadcast. The remaining rows are joined as usual. rows is read twice.
+    """
+    if not hot:
+        return rows.join(other, key, how)
+    is_hot = F.coalesce(F.col(key).isin([bytes(k) if isinstance(k, bytearray) else k for k in hot]), F.lit(False))
+    few = other.where(is_hot)
+    few = F.broadcast(few) if other_bytes is None else broadcast_if_light(few, other_bytes)
+    return rows.where(is_hot).join(few, key, how).unionByName(rows.where(~is_hot).join(other.where(~is_hot), key, how))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (in place on a copy)."""
     x = x.copy()

@@ -10,7 +10,8 @@ Every candidate is verified on full shingle sets. Documents with equal sets form
 Two rounds link every member of a left group to one hub (linear in the rows); after them, whatever
 still lies in different components of a table bucket is compared by odd sketches: the ones in the XOR
 of two sketches count at most the sets' symmetric difference, and where a sketch is crowded the
-expected count plus `SIGMAS` deviations is the bound. Pairs within it are verified.
+expected count plus `SIGMAS` deviations is the bound. Pairs within it are verified. Left keys, classes
+and hubs that hold many rows are joined without bringing these rows together (`common.spread_join`).
 
 Rows: null or wordless text has an empty set and is linked with nothing; rows with a null doc_id
 take no part in links (component_id null, kept true); rows with the same doc_id are one document.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import binary_rows, broadcast_if_small, materialize, mix, text_shingles, with_row_ids
+from vertexloom.llm.common import HOT_ROWS, HOT_SHARE, binary_rows, broadcast_if_small, hot_keys, materialize, mix, spread_join, text_shingles, with_row_ids
 from vertexloom.llm.components import connected_components
 
 BANDS, ROWS, SHINGLE, PERCENT = 16, 3, 5, 75
@@ -114,23 +115,25 @@ def _linked(percent: int):
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
+    hubs = hot_keys(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
+    both = spread_join(pairs, right, "b", hubs, other_bytes=F.length("sb"))
+    both = spread_join(both, left, "a", hubs, other_bytes=F.length("sa")).select("a", "b", "sa", "sb")
     return both.mapInArrow(_linked(percent), "a long, b long")
 
 
-def _hub_pairs(bands: DataFrame, salt: int, percent: int) -> DataFrame:
+def _hub_pairs(bands: DataFrame, hot: list, salt: int, percent: int) -> DataFrame:
     """Each member of a left group with the group's hub, where some right key agrees and sizes allow a link."""
     hub = F.min(F.struct(F.xxhash64("rep", F.lit(salt)).alias("p"), "rep", "n", "right_keys", "label"))
     hubs = bands.groupBy("lk").agg(hub.alias("h"))
     met = F.exists(F.zip_with("right_keys", "h.right_keys", lambda x, y: x == y), lambda x: x)
-    rows = bands.join(hubs, "lk").where("label <> h.label").where(f"100 * least(n, h.n) >= {percent} * greatest(n, h.n)").where(met)
+    rows = spread_join(bands, hubs, "lk", hot).where("label <> h.label").where(f"100 * least(n, h.n) >= {percent} * greatest(n, h.n)").where(met)
     return rows.select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct()
 
 
-def _rest_pairs(bands: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(bands: DataFrame, hot: list, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs that share a table bucket, still lie in different components and may be near enough by their sketches."""
     mixed = bands.groupBy("lk").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("lk")
-    rows = bands.join(mixed, "lk").select("rep", "n", "label", "li", "lk", F.posexplode("right_keys").alias("j", "rk"))
+    rows = spread_join(bands, mixed, "lk", hot).select("rep", "n", "label", "li", "lk", F.posexplode("right_keys").alias("j", "rk"))
     rows = rows.select("rep", "n", "label", "li", "j", F.xxhash64("lk", "j", "rk").alias("bucket"))
     split = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     rows = materialize(rows.join(split, "bucket"), "buckets")
@@ -150,10 +153,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = materialize(docs.mapInArrow(_signatures, _SIGNATURE), "signatures")
     own = sig.where("doc_id is not null and n_shingles > 0")
-    classes = own.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "left_keys", "right_keys"), "doc_id").alias("s"))
+    first = F.min_by(F.struct("n_shingles", "left_keys", "right_keys"), "doc_id")
+    classes = materialize(own.groupBy("cls").agg(F.min("doc_id").alias("rep"), first.alias("s"), F.count("*").alias("members")), "classes")
+    total = classes.agg(F.sum("members")).first()[0] or 0
+    copied = classes.where(F.lit(total >= HOT_ROWS) & (F.col("members") * HOT_SHARE > total)).select("cls", "rep").collect()
     bands = classes.select("rep", F.col("s.n_shingles").alias("n"), F.col("s.right_keys").alias("right_keys"), F.posexplode("s.left_keys").alias("li", "lk"))
     shared = bands.groupBy("lk").agg(F.count("*").alias("members")).where("members > 1").select("lk")
-    bands = materialize(bands.join(shared, "lk"), "bands")
+    hot = hot_keys(bands, "lk")
+    bands = materialize(spread_join(bands, shared, "lk", hot), "bands")
 
     ids = materialize(bands.select("rep").distinct(), "candidates")
     wanted = ids.select(F.col("rep").alias("doc_id"))
@@ -162,11 +169,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     keys = classes.select(F.col("rep").alias("key_id"), "s.left_keys", "s.right_keys")
     profiles = sets.select("id", "sketch").join(keys, F.col("id") == F.col("key_id")).drop("key_id")
-    same = own.groupBy("cls").agg(F.min("doc_id").alias("a")).join(own.select("cls", F.col("doc_id").alias("b")), "cls").where("a < b").select("a", "b")
+    same = spread_join(own.select("cls", F.col("doc_id").alias("b")), classes.select("cls", F.col("rep").alias("a")), "cls", [r.cls for r in copied]).where("a < b").select("a", "b")
     links, done, labels = None, None, None
     for step in range(3):
         now = bands.withColumn("label", F.col("rep")) if labels is None else bands.join(labels, bands.rep == labels.id, "left").select(*bands.columns, F.coalesce("label", "rep").alias("label"))
-        pairs = _hub_pairs(now, step, percent) if step < 2 else _rest_pairs(now, profiles, percent)
+        pairs = _hub_pairs(now, hot, step, percent) if step < 2 else _rest_pairs(now, hot, profiles, percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -178,7 +185,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not (twice := own.groupBy("doc_id").agg(F.countDistinct("cls").alias("n")).where("n > 1").select(F.col("doc_id").alias("b"))).isEmpty():
         labels = connected_components(links.union(same).union(same.join(twice, "b").select("a", "b")))
     # Rows that share a class follow the class's first id.
-    firsts = same.join(labels, same.a == labels.id, "left").select(F.col("b").alias("id"), F.coalesce("label", "a").alias("label"))
+    firsts = spread_join(same, labels.withColumnRenamed("id", "a"), "a", [r.rep for r in copied], "left").select(F.col("b").alias("id"), F.coalesce("label", "a").alias("label"))
     labels = materialize(labels.union(firsts).groupBy("id").agg(F.min("label").alias("label")), "labels")
     out = sig.join(labels, sig.doc_id == labels.id, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("label", "doc_id"))
