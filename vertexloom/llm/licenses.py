@@ -4,9 +4,10 @@ A template is a run of words with a mandatory key phrase inside. One pass finds
 stand in each file; that small table gives their document frequencies and all that follows. The index keeps, for each template, the
 positions of its key phrase's `RARE` rarest words. A file's occurrences of indexed words are looked
 up, the postings of a template, rarest words first, are intersected by relative position (occurrence minus position in
-the template), and a place counts once the whole key phrase stands there. The score of a place is
-the share of the template's words that stand where the template has them. All of this is row by
-row: no shuffle but that of the frequencies.
+the template), and a place counts once the postings of all the key phrase's words agree on it. The score
+of a place is the share of the template's words that stand where the template has them. All of this is
+row by row: no shuffle but that of the frequencies. Postings are intersected by hash and shares counted in
+sorted order, so a file's time grows with its words and not with their square.
 
 Base templates are their own key phrase. Rows: one for each row of docs; null, empty and wordless
 texts have no places, empty labels and score 0; nothing but text is looked at; an empty table gives
@@ -73,6 +74,11 @@ def _strings(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _vocabulary() -> list[str]:
     return sorted({w for t in templates() for w in t["words"]})
 
@@ -106,35 +112,39 @@ def scan(found: DataFrame, frequencies: dict[str, int]) -> DataFrame:
         index.append(t | {"rare": ranked[:RARE]})
     rarest = sorted({number[t["key"][t["rare"][0]]] for t in index})
 
-    def stands(word: str, at: Column) -> Column:
-        return F.array_contains("spots", at.cast("long") * CODES + number[word])
-
-    def starts(t: dict) -> Column:
-        """Places of the key phrase: the rare words' postings agree on them and the whole phrase stands there."""
-
-        def postings(k: int) -> Column:
-            return F.transform(F.filter("spots", lambda x: x % CODES == number[t["key"][k]]), lambda x: F.shiftright(x, CODES.bit_length() - 1) - k)
+    none = F.array().cast("array<struct<label:string,base:boolean,start:bigint,share:double>>")
 
-        agreed = postings(t["rare"][0])
-        for k in t["rare"][1:]:
-            agreed = F.array_intersect(agreed, postings(k))
+    def postings(word: str, k: int) -> Column:
+        """Where a key phrase may begin, by the places of a word that stands k after it."""
+        return F.transform(F.filter("spots", lambda x: x % CODES == number[word]), lambda x: F.shiftright(x, CODES.bit_length() - 1) - k)
 
-        def whole(s: Column) -> Column:
-            there = s >= 0
-            for k, w in enumerate(t["key"]):
-                there &= stands(w, s + k)
-            return there
+    def agreed(found: Column, t: dict, at: list[int]) -> Column:
+        for k in at:
+            found = F.array_intersect(found, postings(t["key"][k], k))
+        return found
 
-        return F.filter(agreed, whole)
+    def starts(t: dict) -> Column:
+        """Places of the key phrase: the rare words' postings agree on them, then those of all its words."""
+        first, *rare = t["rare"]
+        rest = [k for k in range(len(t["key"])) if k not in t["rare"]]
+        return _let(agreed(postings(t["key"][first], first), t, rare), lambda s: F.when(F.size(s) > 0, agreed(s, t, rest)).otherwise(s))
 
     def places(t: dict) -> Column:
-        def share(s: Column) -> Column:
-            same = [stands(w, s + (k - t["at"])).cast("int") for k, w in enumerate(t["words"])]
-            return sum(same[1:], same[0]).cast("double") / len(t["words"])
+        def place(start: Column, share: Column) -> Column:
+            return F.struct(F.lit(t["label"]).alias("label"), F.lit(t["base"]).alias("base"), start.alias("start"), share.alias("share"))
 
-        return F.transform(starts(t), lambda s: F.struct(F.lit(t["label"]).alias("label"), F.lit(t["base"]).alias("base"), s.cast("long").alias("start"), share(s).alias("share")))
+        def runs(met: Column) -> Column:
+            """A place is in met once for the key phrase and once for each further word that stands."""
+            firsts = F.filter(F.sequence(F.lit(0), F.size(met) - 1), lambda i: (i == 0) | (F.get(met, i) != F.get(met, i - 1)))
+            share = lambda i, j: (j - i - 1 + len(t["key"])).cast("double") / len(t["words"])
+            return _let(firsts, lambda f: F.zip_with(f, F.concat(F.slice(f, 2, F.size(f)), F.array(F.size(met))), lambda i, j: place(F.get(met, i), share(i, j))))
+
+        rest = [k for k in range(len(t["words"])) if not t["at"] <= k < t["at"] + len(t["key"])]
+        if not rest:
+            return F.transform(starts(t), lambda s: place(s, F.lit(1.0)))
+        met = lambda s: F.array_sort(F.concat(s, *(F.array_intersect(s, postings(t["words"][k], k - t["at"])) for k in rest)))
+        return _let(starts(t), lambda s: F.when(F.size(s) > 0, _let(met(s), runs)).otherwise(none))
 
-    none = F.array().cast("array<struct<label:string,base:boolean,start:bigint,share:double>>")
     # A file without any template's rarest word is done.
     some = F.exists("spots", lambda x: (x % CODES).isin(rarest))
     return found.select("doc_id", "n_words", F.when(some, F.concat(*map(places, index))).otherwise(none).alias("places"))
