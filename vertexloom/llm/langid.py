@@ -3,9 +3,11 @@
 Texts become lower-cased letters with single code point for everything else; n-grams of 1 to `ORDER`
 characters are hashed into `BUCKETS` buckets, weighted by (1 + log count) * idf and scaled to unit
 length. Document frequencies cover all training rows. The weights are learned by follow-the-
-regularised-leader with elastic-net penalties on at most `SAMPLE` training rows, spread evenly over
-the languages by a hash of doc_id; a softmax temperature is fitted on every fifth of them, which is
-kept out of the learning. Prediction reads whole texts only.
+regularised-leader with elastic-net penalties on a sample of training rows, spread evenly over the
+languages by a hash of doc_id and text: about `SAMPLE` rows, or `LEAST` a language if that is more, and
+never above 1.25 times as many. Every lang value is learned, those with few rows from all of them; the
+model takes 256 KB a language. A softmax temperature is fitted on every fifth row of each language, which
+is kept out of the learning. Prediction reads whole texts only.
 
 Rows: one for each row of docs. Null texts and texts without letters are `und` with score 0, as are
 all if there is nothing to learn from. Training rows need a text and a lang; null doc_ids count as
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.llm.common import blocks, held_out
 
-ORDER, BUCKETS, SAMPLE, LANGUAGES = 3, 1 << 15, 3000, 256
+ORDER, BUCKETS, SAMPLE, LEAST = 3, 1 << 15, 3000, 10
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.05, 2
 
 
@@ -139,25 +141,27 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray,
     seen[list(df)] = list(df.values())
     idf = np.log((1 + total) / (1 + seen)) + 1
 
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()  # a row a language
     languages = sorted(r[0] for r in counts)
     if not languages:
         return [], np.zeros((0, BUCKETS)), idf, 1.0
-    # An even share of the sample for each language, with some slack that the limit takes back.
-    parts = 1 << 20
-    share = F.lit(0)
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, math.ceil(parts * min(1, 1.2 * sample / len(languages) / n))).otherwise(share)
-    key = F.xxhash64("doc_id", "text")
-    chosen = known.withColumn("order_key", key).where(F.pmod(F.col("order_key"), F.lit(parts)) < share)
-    chosen = chosen.orderBy("order_key").limit(sample).select("lang", "text", "order_key")
-    rows = []
-    for r in sorted(chosen.mapInArrow(_sparse, "lang string, order_key long, buckets binary, counts binary").collect(), key=lambda r: (r[1] * 0x9E3779B97F4A7C15) % 2**64):
+    # An even share of the sample for each language; the limit takes rare languages, which give all rows, first.
+    parts, size = 1 << 30, max(sample, LEAST * len(languages))
+    shares = [(lang, math.ceil(parts * min(1, size / len(languages) / n))) for lang, n in counts]
+    share = docs.sparkSession.createDataFrame(shares, "lang string, share long")
+    chosen = known.withColumn("order_key", F.xxhash64("doc_id", "text")).join(F.broadcast(share), "lang")
+    chosen = chosen.where(F.pmod(F.col("order_key"), F.lit(parts)) < F.col("share"))
+    chosen = chosen.orderBy(F.desc(F.col("share") == parts), "order_key").limit(math.ceil(1.25 * size)).select("lang", "text", "order_key")
+    number, seen_rows = {lang: k for k, lang in enumerate(languages)}, [0] * len(languages)
+    learned, kept = [], []
+    order = lambda r: ((r[1] * 0x9E3779B97F4A7C15) % 2**64, r[0], bytes(r[2]))
+    for r in sorted(chosen.mapInArrow(_sparse, "lang string, order_key long, buckets binary, counts binary").collect(), key=order):
         at, count = np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32)
         if len(at):
-            rows.append((at, weighted(at, count, idf), languages.index(r[0])))
-    weights = ftrl([r for k, r in enumerate(rows) if k % 5], len(languages))
-    kept = rows[::5]
+            y = number[r[0]]
+            seen_rows[y] += 1
+            (learned if seen_rows[y] % 5 else kept).append((at, weighted(at, count, idf), y))
+    weights = ftrl(learned, len(languages))
     scores = np.array([weights[:, at] @ x for at, x, _ in kept]).reshape(-1, len(languages))
     return languages, weights, idf, temperature(scores, np.array([y for *_, y in kept], int))
 
