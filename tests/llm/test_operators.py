@@ -101,6 +101,32 @@ def test_minhash(spark, docs, odd, empty):
     assert sorted(r.text[:3] for r in minhash.keep_one(twice).collect()) == ["the", "w0 "]
 
 
+def test_hot_keys_are_joined_apart(spark, docs, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_SHARE", 40)
+    monkeypatch.setattr(minhash, "HOT_ROWS", 1)
+    monkeypatch.setattr(minhash, "HOT_SHARE", 40)
+    rows = spark.createDataFrame([(k % 3 if k % 2 else k, k) for k in range(200)] + [(None, 500)], "key long, n long")
+    other = spark.range(0, 60).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice"))
+    assert sorted(common.hot_keys(rows, "key")) == [0, 1, 2]
+    for how in ("inner", "left"):
+        found = common.spread_join(rows, other, "key", common.hot_keys(rows, "key"), how)
+        assert collections.Counter(map(tuple, found.collect())) == collections.Counter(map(tuple, rows.join(other, "key", how).collect()))
+    rng = np.random.default_rng(1)
+    base = [f"b{k}" for k in range(60)]
+    texts = []
+    for k in range(150):
+        w = list(base)
+        if k % 3:
+            w[int(rng.integers(60))] = f"x{int(rng.integers(40))}"
+        texts.append((k, " ".join(w)))
+    texts += [(200 + k, " ".join(f"c{j + 4 * k}" for j in range(60))) for k in range(30)]
+    found = {r[0]: tuple(r[1:]) for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found == brute_components(texts)
+    links = spark.createDataFrame([(0, k) for k in range(1, 90)] + [(k, k + 1) for k in range(100, 130)], "a long, b long")
+    assert dict(components.connected_components(links).collect()) == {**{k: 0 for k in range(90)}, **{k: 100 for k in range(100, 131)}}
+
+
 @given(st.lists(st.integers(0, 12), max_size=80), st.integers(1, 6))
 @settings(max_examples=60, deadline=None)
 def test_compact_windows(values, length):
@@ -475,6 +501,14 @@ def test_licenses(spark, odd, empty):
     assert (rows[0].labels, rows[0].n_base, rows[0].first_word, rows[0].score) == ("mit", 0, None, 1.0)
     assert (rows[1].base_labels, rows[1].labels, rows[1].n_base, rows[1].first_word, rows[1].last_word) == ("cc-by,reserved", "cc-by,cc-by-nc,reserved", 3, 1, 10)
     assert rows[2].labels == "gpl,gpl-3.0" and rows[2].base_labels == "gpl" and rows[3].labels == rows[4].labels == "" and rows[5].n_words == 0 and rows[5].score == 0
+    long = " ".join(["licensed under the apache license version 2 0 of all rights reserved to any person"] * 20_000)
+    words = licenses.license_words(spark.createDataFrame([(0, long)], "doc_id long, text string"))
+    began = time.time()
+    row = licenses.license_report(licenses.scan(words, licenses.document_frequencies(words))).first()
+    assert time.time() - began < 60 and (row.n_base, row.labels, row.first_word, row.last_word, row.score) == (20_000, "apache-2.0,reserved", 9, 299_994, 1.0)
+    cut = licenses.license_words(spark.createDataFrame([(0, "the apache license version 2 0 and licensed for the apache license version 2 0")], "doc_id long, text string"))
+    places = licenses.scan(cut, {}).first().places
+    assert sorted((p.label, p.start, p.share) for p in places) == [("apache-2.0", 1, 6 / 8), ("apache-2.0", 10, 7 / 8)]
     found = licenses.license_words(odd)
     report = licenses.license_report(licenses.scan(found, {})).collect()
     assert len(report) == len(ODD) and max(r.n_base for r in report) == 3000 and licenses.license_words(empty).count() == 0
@@ -565,6 +599,92 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in langid.identify(odd, langid.train(empty)).collect()} == {"und"} and langid.identify(empty, langid.train(odd)).count() == 0
 
 
+def test_all_languages_are_learned(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for la in range(300):
+        alphabet = rng.choice(np.array([chr(c) for c in range(0x4E00, 0x9000)]), 12)
+        for k in range(6):
+            rows.append((len(rows), "".join(rng.choice(alphabet, 60)), f"l{la:03}"))
+    rows += [(len(rows) + k, "abc def " * 9, "l000") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, *model = langid.train(docs)
+    learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    assert languages == sorted(learned) and len(learned) > 290
+    found = langid.identify(docs, (languages, *model)).join(docs.select("doc_id", "lang"), "doc_id").where("lang <> 'l000'")
+    assert found.where("lang = lang_pred").count() >= 0.9 * found.count()
+
+
+def test_regularised_leader_by_definition():
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(60):
+        at = np.sort(rng.choice([3, 7, 19, 400, 32_000], 3, replace=False))
+        x = rng.random(3)
+        rows.append((at, x / math.sqrt(x @ x), int(rng.integers(3))))
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(c, i):
+        if abs(z[c, i]) <= langid.L1:
+            return 0.0
+        return -(z[c, i] - math.copysign(langid.L1, z[c, i])) / ((langid.BETA + math.sqrt(n[c, i])) / langid.ALPHA + langid.L2)
+
+    for _ in range(langid.EPOCHS):
+        for at, x, y in rows:
+            w = {(c, i): weight(c, i) for c in range(3) for i in at}
+            e = [math.exp(sum(w[c, i] * v for i, v in zip(at, x, strict=True))) for c in range(3)]
+            for c in range(3):
+                for i, v in zip(at, x, strict=True):
+                    g = (e[c] / sum(e) - (c == y)) * v
+                    z[c, i] += g - (math.sqrt(n[c, i] + g * g) - math.sqrt(n[c, i])) / langid.ALPHA * w[c, i]
+                    n[c, i] += g * g
+    found = langid.ftrl(rows, 3)
+    assert all(math.isclose(found[c, i], weight(c, i), abs_tol=1e-12) for c in range(3) for i in (3, 7, 19, 400, 32_000))
+    assert np.count_nonzero(found) <= 15
+    scores, labels = rng.normal(size=(200, 4)) * 5, rng.integers(0, 4, 200)
+    scores[np.arange(200), labels] += 4
+
+    def loss(t):
+        s = scores / t
+        return -np.mean(s[np.arange(200), labels] - np.log(np.exp(s).sum(1)))
+
+    assert loss(langid.temperature(scores, labels)) <= min(loss(t) for t in np.exp(np.linspace(-2, 4, 2000))) + 1e-7
+
+
+def test_boosting_by_definition():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 12, (500, 4)).astype(np.float32)
+    y = (x[:, 2] + x[:, 0] * x[:, 1] / 8 + rng.normal(0, 2, 500) > 9).astype(float)
+    forest = quality.grow(x, y, trees=4)
+    raw = np.full(500, forest.base)
+    for root in forest.roots:
+        p = 1 / (1 + np.exp(-raw))
+        grad, hess = p - y, p * (1 - p)
+
+        def gain(rows, f, c):
+            right = x[rows, f] > c
+            parts = [rows[~right], rows[right], rows]
+            if min(len(parts[0]), len(parts[1])) < quality.MIN_ROWS:
+                return -1
+            a, b, whole = (grad[r].sum() ** 2 / (hess[r].sum() + quality.L2) for r in parts)
+            return a + b - whole
+
+        def follow(k, rows, depth):
+            assert math.isclose(forest.value[k], -quality.RATE * grad[rows].sum() / (hess[rows].sum() + quality.L2), rel_tol=1e-6, abs_tol=1e-9)
+            best = max(gain(rows, f, c) for f in range(4) for c in range(12)) if depth < quality.DEPTH else -1
+            if forest.left[k] == k:
+                assert best <= 1e-6 + 1e-9
+                raw[rows] += forest.value[k]
+                return
+            assert math.isclose(gain(rows, forest.feature[k], forest.cut[k]), best, rel_tol=1e-6)
+            right = x[rows, forest.feature[k]] > forest.cut[k]
+            follow(forest.left[k], rows[~right], depth + 1)
+            follow(forest.left[k] + 1, rows[right], depth + 1)
+
+        follow(root, np.arange(500), 0)
+    assert np.allclose(forest.scores(x), 1 / (1 + np.exp(-raw))) and len(forest.feature) > 20
+
+
 def test_quality(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     found = quality.classify(docs, labels).join(labels, "doc_id").where("held_out")
