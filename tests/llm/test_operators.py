@@ -3,7 +3,9 @@
 import collections
 import fractions
 import math
+import os
 import re
+import resource
 import time
 import zlib
 
@@ -447,6 +449,26 @@ def test_kneser(spark, docs, odd, empty, order):
     assert {r.score for r in kneser.score(odd, about).collect()} == {0.0}
 
 
+def test_kneser_of_many_buckets(spark, docs, monkeypatch):
+    monkeypatch.setattr(kneser, "BUCKET_CHARACTERS", docs.select(F.sum(F.length("text"))).first()[0] // 40)
+    rows = docs.orderBy("doc_id").collect()
+    about = kneser.train(docs)
+    assert about["buckets"] > 30
+    want = {r.doc_id: r.score for r in kneser.score(docs, about).collect()}
+    # A process may open fewer files than the model has, and map fewer.
+    before, opened = resource.getrlimit(resource.RLIMIT_NOFILE), len(os.listdir("/proc/self/fd"))
+    try:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (opened + 60, before[1]))
+        for maps in (1 << 15, 7):
+            monkeypatch.setattr(kneser, "MAPS", maps, raising=False)
+            model, got = kneser.Model(about), []
+            for words, bounds in kneser.tokens(pa.array([r.text for r in rows])):
+                got += np.add.reduceat(model.log10(words, bounds)[0], bounds[:-1]).tolist()
+            assert len(model.maps) <= maps and np.allclose(got, [want[r.doc_id] for r in rows], rtol=1e-12)
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, before)
+
+
 @given(st.integers(1, 10**9), st.integers(1, 5000), st.lists(st.tuples(st.integers(0, 10**9), st.integers(0, 10**9)), min_size=1, max_size=30))
 @settings(max_examples=100, deadline=None)
 def test_pairs_of_grams(size, buckets, pairs):

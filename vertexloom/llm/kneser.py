@@ -27,6 +27,7 @@ ignored.
 
 from __future__ import annotations
 
+import mmap
 import os
 import uuid
 
@@ -39,6 +40,9 @@ from vertexloom.llm.common import LOWER, SPACE_SEP, blocks, held_out, materializ
 
 MOD, ORDER, CHUNK_WORDS, BUCKET_CHARACTERS, PARTS = 7, 3, 2_000_000, 8_000_000, 4096
 SCORED_BYTES = 6_000_000  # of text that meet the arrays at once
+MAPS = 32_768  # files that a process maps at once, half of what Linux allows; beyond that the oldest go and are mapped again
+#: By kind of file its columns of counts; the highest order's count is its value.
+COLUMNS = {"grams": ["count"], "told": ["total", "ones", "twos", "more", "value"]}
 END = np.uint64(0x5EED5EED5EED5EED)
 _HIGH = np.uint64(32)
 
@@ -136,19 +140,33 @@ def _local(folder: str) -> str:
     return folder
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Puts an array into the folder; a later attempt replaces an earlier one whole."""
-    os.makedirs(folder, exist_ok=True)
-    temp = f"{folder}/.{name}.{uuid.uuid4().hex}.npy"
-    np.save(temp, array)
-    os.replace(temp, f"{folder}/{name}.npy")
-
+def _save(folder: str, name: str, keys: np.ndarray, columns: list[np.ndarray]) -> None:
+    """Puts sorted keys and columns of counts into one file of the folder; a later attempt replaces an earlier one whole.
 
-def _save_counts(folder: str, name: str, counts: np.ndarray) -> None:
-    """A byte a count; those that need more stand apart with their places."""
-    far = np.flatnonzero(counts >= 255)
-    _save(folder, name, np.minimum(counts, 255).astype(np.uint8))
-    _save(folder, name + ".far", np.stack([far, counts[far]]).astype(np.int64))
+    A byte a count; those that need more stand apart with their places.
+    """
+    os.makedirs(folder, exist_ok=True)
+    far = [np.flatnonzero(c >= 255) for c in columns]
+    parts = [np.array([len(keys), len(columns[0]), *map(len, far)]), keys.view(np.int64), *(x.astype(np.int64) for f, c in zip(far, columns, strict=True) for x in (f, c[f]))]
+    temp = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with open(temp, "wb") as file:
+        for part in (*parts, *(np.minimum(c, 255).astype(np.uint8) for c in columns)):
+            part.tofile(file)
+    os.replace(temp, f"{folder}/{name}")
+
+
+def _load(path: str, columns: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(keys, (bytes, places of larger counts, these) by column) of a saved file, mapped; no file stays open."""
+    with open(path, "rb") as file:
+        raw = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+    size, n, *far = np.frombuffer(raw, np.int64, 2 + columns).tolist()
+    at = 8 * (2 + columns)
+    keys, at = np.frombuffer(raw, np.uint64, size, at), at + 8 * size
+    large = []
+    for m in far:
+        large.append((np.frombuffer(raw, np.int64, m, at), np.frombuffer(raw, np.int64, m, at + 8 * m)))
+        at += 16 * m
+    return keys, [(np.frombuffer(raw, np.uint8, n, at + k * n), *pair) for k, pair in enumerate(large)]
 
 
 def place_of(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -184,16 +202,21 @@ class Model:
     def grams(self, level: int) -> Grams:
         return Grams(int(self.offsets[level - 2][-1]), self.about["buckets"])
 
-    def array(self, name: str) -> np.ndarray:
+    def part(self, kind: str, level: int, bucket: int) -> tuple:
+        """What a bucket's file of a kind holds."""
+        name = f"{kind}{level}-{bucket}"
         if name not in self.maps:
-            self.maps[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
+            while len(self.maps) >= MAPS:
+                self.maps.pop(next(iter(self.maps)))
+            self.maps[name] = _load(f"{self.folder}/{name}", len(COLUMNS[kind]))
         return self.maps[name]
 
-    def counts(self, name: str, at: np.ndarray) -> np.ndarray:
-        out = self.array(name)[at].astype(np.int64)
+    def counts(self, column: str, level: int, bucket: int, at: np.ndarray) -> np.ndarray:
+        kind = "told" if level < self.about["order"] and column != "count" else "grams"
+        narrow, places, large = self.part(kind, level, bucket)[1][COLUMNS[kind].index(column) if kind == "told" else 0]
+        out = narrow[at].astype(np.int64)
         if len(much := np.flatnonzero(out == 255)):
-            far = self.array(name + ".far")
-            out[much] = far[1][np.searchsorted(far[0], at[much])]
+            out[much] = large[np.searchsorted(places, at[much])]
         return out
 
     def find(self, level: int, bucket: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -203,7 +226,7 @@ class Model:
         for b, part in _slices(bucket):
             if offsets[b] == offsets[b + 1]:
                 continue
-            stored = self.array(f"keys{level}-{b}")
+            stored = self.part("grams", level, b)[0]
             at = np.minimum(np.searchsorted(stored, keys[part]), len(stored) - 1)
             out[part] = np.where(stored[at] == keys[part], offsets[b] + at, -1)
         return out
@@ -216,7 +239,7 @@ class Model:
         for b, part in _slices(np.searchsorted(offsets, ids[known], "right") - 1):
             at = ids[known[part]] - offsets[b]
             for column, found in zip(columns, out, strict=True):
-                found[known[part]] = self.counts(f"{column}{level}-{b}", at)
+                found[known[part]] = self.counts(column, level, b, at)
         return out
 
     def number(self, words: np.ndarray, bounds: np.ndarray, upto: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -252,7 +275,7 @@ class Model:
             return np.full(len(words), np.log10(uniform)), count
         d = np.array([0, *about["discounts"][1]])
         p = (follows - d[np.minimum(follows, 3)]) / total + about["spare"] / total * uniform
-        names = ["total", "ones", "twos", "more"]
+        names = COLUMNS["told"][:-1]
         for level in range(2, about["order"] + 1):
             (ids, back), (shorter, before) = numbers[level - 1], numbers[level - 2]
             d = np.array([0, *about["discounts"][level]])
@@ -363,8 +386,7 @@ def _store(about: dict, level: int):
         model = _model(about)
         for bucket, found in _groups(batches):
             keys, counts = found.get(GRAM, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            _save(model.folder, f"keys{level}-{bucket}", keys)
-            _save_counts(model.folder, f"count{level}-{bucket}" if level < about["order"] else f"value{level}-{bucket}", counts)
+            _save(model.folder, f"grams{level}-{bucket}", keys, [counts])
             if level == about["order"]:
                 yield from _tell(model, level, bucket, keys, counts)
             else:
@@ -381,17 +403,19 @@ def _settle(about: dict, level: int):
         for bucket, found in _groups(batches):
             begin = offsets[bucket]
             n = offsets[bucket + 1] - begin if bucket + 1 < len(offsets) else 1  # the start mark is alone
-            for kind, columns in ((PREFIX, ["total", "ones", "twos", "more"]), (SUFFIX, ["value"])):
+            told = []
+            for kind, columns in ((PREFIX, COLUMNS["told"][:-1]), (SUFFIX, COLUMNS["told"][-1:])):
                 keys, *sums = found.get(kind, (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in columns)))
-                for column, own in zip(columns, sums, strict=True):
+                for own in sums:
                     dense = np.zeros(n, np.int64)
                     dense[keys.astype(np.int64) - begin] = own
-                    if column == "value" and level > 1:
-                        # Grams that begin a text have nothing before them: their count stands.
-                        grams = np.asarray(model.array(f"keys{level}-{bucket}"))
-                        starts = np.flatnonzero(model.grams(level).pair(bucket, grams)[0] == model.offsets[0][-1])
-                        dense[starts] = model.counts(f"count{level}-{bucket}", starts)
-                    _save_counts(model.folder, f"{column}{level}-{bucket}", dense)
+                    told.append(dense)
+            if level > 1:
+                # Grams that begin a text have nothing before them: their count stands.
+                grams = model.part("grams", level, bucket)[0]
+                starts = np.flatnonzero(model.grams(level).pair(bucket, grams)[0] == model.offsets[0][-1])
+                dense[starts] = model.counts("count", level, bucket, starts)
+            _save(model.folder, f"told{level}-{bucket}", np.zeros(0, np.uint64), told)
             if level > 1:
                 yield from _tell(model, level, bucket, grams, dense)
             else:
