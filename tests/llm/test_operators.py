@@ -469,6 +469,16 @@ def test_kneser_of_many_buckets(spark, docs, monkeypatch):
         resource.setrlimit(resource.RLIMIT_NOFILE, before)
 
 
+def test_batches_of_bounded_size(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    rows = spark.range(0, 100, 1, 1).select(F.expr("cast(repeat('x', 100000) as binary)").alias("raw"))
+    found = common.materialize(rows.mapInArrow(sizes, "n long, size long"), "sizes", 1_000_000).collect()
+    assert sum(r.n for r in found) == 100 and max(r.size for r in found) < 1_200_000
+
+
 @given(st.integers(1, 10**9), st.integers(1, 5000), st.lists(st.tuples(st.integers(0, 10**9), st.integers(0, 10**9)), min_size=1, max_size=30))
 @settings(max_examples=100, deadline=None)
 def test_pairs_of_grams(size, buckets, pairs):

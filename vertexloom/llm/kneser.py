@@ -41,6 +41,7 @@ from vertexloom.llm.common import LOWER, SPACE_SEP, blocks, held_out, materializ
 MOD, ORDER, CHUNK_WORDS, BUCKET_CHARACTERS, PARTS = 7, 3, 2_000_000, 8_000_000, 4096
 SCORED_BYTES = 6_000_000  # of text that meet the arrays at once
 MAPS = 32_768  # files that a process maps at once, half of what Linux allows; beyond that the oldest go and are mapped again
+BATCH_BYTES = 8_000_000  # of packed counts that go to a worker at once
 #: By kind of file its columns of counts; the highest order's count is its value.
 COLUMNS = {"grams": ["count"], "told": ["total", "ones", "twos", "more", "value"]}
 END = np.uint64(0x5EED5EED5EED5EED)
@@ -447,7 +448,7 @@ def train(docs: DataFrame, mod: int = MOD, order: int = ORDER) -> dict:
         buckets = about["buckets"]
         every = spark.range(buckets + 1).select(F.lit(GRAM).alias("kind"), F.col("id").cast("int").alias("bucket"), F.lit(b"").alias("keys"), F.lit(b"").alias("counts"))
         sorted_rows = rows.where("kind <> 3").union(every).repartition(min(buckets + 1, PARTS), "bucket").sortWithinPartitions("bucket", "kind")
-        out = materialize(sorted_rows.mapInArrow(step, _PACKED), name)
+        out = materialize(sorted_rows.mapInArrow(step, _PACKED), name, BATCH_BYTES)
         numbers = [[0] * 6 for _ in range(buckets + 1)]
         for bucket, raw in out.where("kind = 3").select("bucket", "counts").toLocalIterator():
             numbers[bucket] = np.frombuffer(raw, "<i8").tolist()
