@@ -273,6 +273,27 @@ def test_groups_by_gaps_find_what_pairs_find():
         assert found <= pairs and component_sets(map(tuple, found)) == component_sets(map(tuple, pairs))
 
 
+def test_links_of_many_similar_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, width = 300, 2 * passages.LENGTH - 1
+    around = rng.integers(1, 256, (n, width)).astype(np.uint8)
+    around[1:] = around[1]  # all but the hub are alike, but for one shingle each
+    around[np.arange(1, n), rng.integers(0, width, n - 1)] = 0
+    doc = np.arange(n)
+    want = passages._partners(doc, around, np.array([n]))[0]
+    monkeypatch.setattr(passages, "PAIRS", 1000, raising=False)
+    got = passages._partners(doc, around, np.array([n]))[0]
+    assert len(want[0]) > 40_000 and len(got[0]) < 35_000
+    firsts = []
+    for a, b in (want, got):
+        first = np.arange(n) + n
+        np.minimum.at(first, a, b)
+        np.minimum.at(first, b, a)
+        firsts.append(first.tolist())
+    assert firsts[0] == firsts[1]
+    assert (passages._labels(n, *want) == passages._labels(n, *got)).all()
+
+
 def test_positions_in_a_very_long_text(spark):
     shared = " ".join(f"s{k}" for k in range(70))
     long = " ".join(f"v{k % 977}y{k % 1009}" for k in range(9_000_000)) + " " + shared
