@@ -294,6 +294,22 @@ def test_links_of_many_similar_pairs(monkeypatch):
     assert (passages._labels(n, *want) == passages._labels(n, *got)).all()
 
 
+def test_large_groups_keep_the_rows_of_all_functions():
+    few, many = ({}, {})
+    for found, copies in ((few, 2), (many, 9)):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(copies)), pa.array([WORDS] * copies)], ["doc_id", "text"])
+        rows = [b.to_pydict() for b in passages._windows([batch])]
+        key, doc, low, high, hot = (np.array([x for r in rows for x in r[c]]) for c in ("key", "doc_id", "low", "high", "hot"))
+        found.update(collections.Counter(key.tolist()))
+        order = np.lexsort((doc, key, hot))
+        met = [b for b in passages._meet([pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (key, doc, low, high, hot)], ["key", "doc_id", "low", "high", "hot"])])]
+        if copies > passages.SMALL:
+            large = collections.Counter(k for b in met for k in b.column(7).to_pylist())
+            assert large == found and None not in large
+    assert set(passages._function(np.array(list(few)))) == set(range(passages.HASHES))
+    assert {k: n // 2 for k, n in few.items()} == {k: n // 9 for k, n in many.items()}
+
+
 def test_positions_in_a_very_long_text(spark):
     shared = " ".join(f"s{k}" for k in range(70))
     long = " ".join(f"v{k % 977}y{k % 1009}" for k in range(9_000_000)) + " " + shared
