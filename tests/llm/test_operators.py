@@ -310,6 +310,18 @@ def test_large_groups_keep_the_rows_of_all_functions():
     assert {k: n // 2 for k, n in few.items()} == {k: n // 9 for k, n in many.items()}
 
 
+@pytest.mark.parametrize("others", [10, 1100])
+def test_put_in_words_in_groups_of_any_size(others):
+    rng = np.random.default_rng(5)
+    around = rng.integers(1, 256, (others + 2, 2 * passages.LENGTH - 1)).astype(np.uint8)
+    x, y = around[-2:]
+    x[:30] = x[76:] = y[:30] = y[77:] = 0
+    y[30:56], y[61:77] = x[30:56], x[60:76]  # a word more: five shingles instead of four
+    n = len(around)
+    links, _ = passages._compared(np.arange(n), np.zeros(n, np.int64), np.full(n, 90), around, np.array([n]))
+    assert (n - 1, n - 2) in set(zip(*(links.column(c).to_pylist() for c in (0, 1)), strict=True))
+
+
 def test_positions_in_a_very_long_text(spark):
     shared = " ".join(f"s{k}" for k in range(70))
     long = " ".join(f"v{k % 977}y{k % 1009}" for k in range(9_000_000)) + " " + shared
