@@ -322,6 +322,28 @@ def test_put_in_words_in_groups_of_any_size(others):
     assert (n - 1, n - 2) in set(zip(*(links.column(c).to_pylist() for c in (0, 1)), strict=True))
 
 
+def test_surroundings_of_a_line_meet_those_they_share_more_with(monkeypatch):
+    rng = np.random.default_rng(8)
+    n, width = 900, 2 * passages.LENGTH - 1
+    around = rng.integers(1, 256, (n, width)).astype(np.uint8)
+    around[1:, 36:57] = around[1, 36:57]  # a line of 21 shingles stands in all but the first
+    for k in range(2, 400, 4):
+        x, y = around[k], around[k + 1]
+        y[:] = x
+        if k % 12 == 2:
+            y[60 : 60 + passages.SHINGLE] = rng.integers(1, 256, passages.SHINGLE)
+        elif k % 12 == 6:
+            y[60:65], y[65:] = rng.integers(1, 256, 5), x[64:-1]  # a word put in
+        x[: 25 + k % 10], y[85 + k % 5 :] = 0, 0
+    a, b = (np.concatenate(c) for c in zip(*[(np.full(n - 1 - k, k), np.arange(k + 1, n)) for k in range(n - 1)], strict=True))
+    want = [{(int(y), int(x)) for x, y in zip(a[good], b[good], strict=True)} for good in passages.similar(around[b], around[a])]
+    assert len(want[0]) > 50 and len(want[1]) > 20
+    met, similar = [], passages.similar
+    monkeypatch.setattr(passages, "similar", lambda x, y: met.append(len(x)) or similar(x, y))
+    got = [set(zip(x.tolist(), y.tolist(), strict=True)) for x, y in passages._partners(np.arange(n), around, np.array([n]))]
+    assert got == want and sum(met) < 20 * n
+
+
 def test_positions_in_a_very_long_text(spark):
     shared = " ".join(f"s{k}" for k in range(70))
     long = " ".join(f"v{k % 977}y{k % 1009}" for k in range(9_000_000)) + " " + shared
