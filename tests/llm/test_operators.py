@@ -344,6 +344,31 @@ def test_surroundings_of_a_line_meet_those_they_share_more_with(monkeypatch):
     assert got == want and sum(met) < 20 * n
 
 
+def test_put_in_words_are_not_looked_for_again_where_links_are_known(monkeypatch):
+    rng = np.random.default_rng(9)
+    n, centre = 600, passages.LENGTH - 1
+    around = rng.integers(1, 256, (n, 2 * passages.LENGTH - 1)).astype(np.uint8)
+    around[1:, centre : centre + 30] = around[1, centre]  # a word repeated 34 times, too short a passage place by place
+    around[1:, centre + 30 :] = 0
+    shared = rng.integers(1, 256, 12)
+    for k in range(1, n):
+        shift = k % 3  # up to two words more between the repeated word and what all have
+        around[k, centre - 16 - shift : centre - 4 - shift] = shared
+    a, b = np.triu_indices(n, 1)
+    apart = [np.concatenate(c) for c in zip(*[passages.similar(around[b[k : k + 20000]], around[a[k : k + 20000]]) for k in range(0, len(a), 20000)], strict=True)]
+    met, similar = [], passages.similar
+    monkeypatch.setattr(passages, "similar", lambda x, y: met.append(len(x)) or similar(x, y))
+    got = passages._partners(np.arange(n), around, np.array([n]))
+    for good, (x, y) in zip(apart, got, strict=True):
+        firsts = [np.arange(n) + n for _ in range(2)]
+        for first, (p, q) in zip(firsts, ((a[good], b[good]), (x, y)), strict=True):
+            np.minimum.at(first, p, q)
+            np.minimum.at(first, q, p)
+        assert firsts[0].tolist() == firsts[1].tolist()
+        assert (passages._labels(n, a[good], b[good]) == passages._labels(n, x, y)).all()
+    assert apart[1].sum() > n and sum(met) < 0.75 * len(a), (apart[1].sum(), sum(met), len(a))
+
+
 def test_positions_in_a_very_long_text(spark):
     shared = " ".join(f"s{k}" for k in range(70))
     long = " ".join(f"v{k % 977}y{k % 1009}" for k in range(9_000_000)) + " " + shared
