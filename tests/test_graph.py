@@ -169,3 +169,23 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.queries()["wcc_geo"](spark, "/root/testdata/sf0.001").select("component").distinct().count() == 5
+
+
+def test_pagerank_deals_edges_once(spark, monkeypatch):
+    def written():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    pairs = spark.range(6000).selectExpr("id % 300 src", "(id * 7 + id div 300) % 300 dst").distinct()
+    graph = g.Graph.from_edges(pairs).settle()
+    want = {r.vid: round(r["rank"], 12) for r in analytics.pagerank(graph, 8).collect()}
+    monkeypatch.setattr(analytics, "BROADCAST", 0, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        got = {r.vid: round(r["rank"], 12) for r in analytics.pagerank(graph, 8).collect()}
+        assert got == want and written() - before < 5 * graph.edges.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
